@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vetrina.llm import exact_dedup, simhash
+from vetrina.llm import bpe, exact_dedup, packing, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_suffix_array_dedup": substring_dedup.op10_suffix_array_dedup,
 }
 
 ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE}

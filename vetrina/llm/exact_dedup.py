@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from vetrina.llm import common
 
-_KEY, _KEEP, _SIZE = "_dx_digest", "_dx_keep", "_dx_size"
-
 
 def text_digest(column: str = "text") -> Column:
     """SHA-256 (lowercase hex) of the text without ASCII white space."""
@@ -50,25 +48,28 @@ class DigestIndex:
         fresh = fresh.select("digest", F.col("best.doc_id").cast("long").alias("keep_id"), "group_size")
         fresh.repartition(self.buckets, "digest").write.insertInto(self.name)
 
-    def _matched(self, docs: DataFrame) -> DataFrame:
-        entries = self.entries().select(F.col("digest").alias(_KEY), F.col("keep_id").alias(_KEEP), F.col("group_size").alias(_SIZE))
-        return docs.withColumn(_KEY, text_digest()).join(entries, _KEY)
+    def _matched(self, docs: DataFrame) -> tuple[DataFrame, str, str, str]:
+        """``docs`` with their index entry, and the names of its columns."""
+        key, keep, size = (common.free_name(c, docs.columns) for c in ("_digest", "_keep_id", "_group_size"))
+        entries = self.entries().select(F.col("digest").alias(key), F.col("keep_id").alias(keep), F.col("group_size").alias(size))
+        return docs.withColumn(key, text_digest()).join(entries, key), key, keep, size
 
     def decide(self, docs: DataFrame) -> DataFrame:
         """One row per row of a batch already appended: doc_id, keep_id, group_size, kept, text_sha256."""
-        found = self._matched(docs.select("doc_id", "text"))
+        found, key, keep, size = self._matched(docs.select("doc_id", "text"))
         return found.select(
             "doc_id",
-            F.col(_KEEP).alias("keep_id"),
-            F.col(_SIZE).alias("group_size"),
-            F.col("doc_id").eqNullSafe(F.col(_KEEP)).alias("kept"),
-            F.col(_KEY).alias("text_sha256"),
+            F.col(keep).alias("keep_id"),
+            F.col(size).alias("group_size"),
+            F.col("doc_id").eqNullSafe(F.col(keep)).alias("kept"),
+            F.col(key).alias("text_sha256"),
         )
 
     def keep_first(self, docs: DataFrame) -> DataFrame:
         """The rows of an appended batch that stay, with all their columns."""
-        kept = self._matched(docs).where(F.col("doc_id").eqNullSafe(F.col(_KEEP)))
-        return kept.dropDuplicates([_KEY]).select(*[F.col(f"`{c}`") for c in docs.columns])
+        found, key, keep, _ = self._matched(docs)
+        kept = found.where(F.col("doc_id").eqNullSafe(F.col(keep)))
+        return kept.dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vetrina.llm import bpe, exact_dedup, packing, simhash, substring_dedup
+from vetrina.llm import bpe, chat, exact_dedup, licenses, packing, quality_model, quality_rules, simhash, substring_dedup, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_quality_classifier": quality_model.op3_quality_classifier,
+    "op4_chat_format": chat.op4_chat_format,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
+    "op8_url_filter": urls.op8_url_filter,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_suffix_array_dedup": substring_dedup.op10_suffix_array_dedup,
 }
 
-ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_license_scan": licenses.oracle(),
+    "op2_exact_dedup": exact_dedup.ORACLE,
+    "op4_chat_format": chat.ORACLE,
+}

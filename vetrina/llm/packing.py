@@ -174,11 +174,13 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = salted.withColumn("_rank", F.row_number().over(part) - F.lit(1)).join(counts, ["length", "_salt"])
     ranked = ranked.select(*cut.columns, (F.col("_rank") + F.col("_before")).cast("long").alias("_rank"))
 
+    names = cut.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sequence, offset = plan.place(batch.column("length").to_numpy(), batch.column("_rank").to_numpy())
-            kept = [batch.column(c) for c in cut.columns]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=[*cut.columns, "sequence_id", "offset"])
+            kept = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
     return ranked.mapInArrow(run, f"{fields}, sequence_id long, offset long")

@@ -26,6 +26,8 @@ from vetrina.llm import common
 
 #: (verdict, host, path) of the contract's rules.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+#: Words in a host that mark a url as blocked in the labelled urls made by ``weak_labels``.
+BLOCK_WORDS = ["ads", "adult", "bets", "casino", "pills", "spam"]
 TRAIN_ROWS = 10_000
 TREES, DEPTH = 10, 3
 _COUNTED = string.ascii_lowercase + string.digits + "-._~:/?#&=%"
@@ -109,19 +111,24 @@ class UrlModel:
         return self.model.transform(self._joined(with_features(rows)))
 
 
+def weak_labels(pages: DataFrame, words: list[str] = BLOCK_WORDS) -> DataFrame:
+    """(url, label): 1 where a label of the host is, or joins by hyphens, one of ``words``."""
+    host, _ = host_and_path(F.col("url"))
+    own = F.arrays_overlap(F.split(host, r"[.\-]"), F.array(*map(F.lit, words)))
+    return pages.where("url is not null").select("url", own.cast("int").alias("label"))
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict.
 
-    ``labelled`` has urls with a label, 1 for blocked; where it is not given, the urls that a rule judges are the
-    labelled ones.
+    ``labelled`` has urls with a label, 1 for blocked; where it is not given, ``weak_labels`` of the pages are used.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     if labelled is None:
-        labelled = rows.where("_rule is not null").select("url", "host", "path", (F.col("_rule.verdict") == "block").cast("int").alias("label"))
-    else:
-        labelled = labelled.select("url", host.alias("host"), path.alias("path"), F.col("label").cast("int").alias("label"))
+        labelled = weak_labels(pages)
+    labelled = labelled.select("url", host.alias("host"), path.alias("path"), F.col("label").cast("int").alias("label"))
     found = UrlModel(labelled).judge(rows)
     verdict = F.coalesce("_rule.verdict", F.when(F.col("_blocked") == 1, "block").otherwise("allow"))
     return found.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"))

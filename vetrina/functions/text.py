@@ -13,18 +13,19 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from vetrina import vocab
 
 Rules = Iterable[tuple[str, ...]]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold_marks(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 

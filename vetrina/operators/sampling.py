@@ -13,7 +13,7 @@ def balanced(products: DataFrame, limit: int, order: Column | str = "feed_pos",
     ``repeats`` false leaves repeats out.
     """
     order = F.col(order) if isinstance(order, str) else order
-    family = F.lower(F.coalesce("clean_title", "title", "source_title")) if family is None else family
+    family = F.lower("clean_title") if family is None else family
     rows = products.withColumn("_copy", F.row_number().over(Window.partitionBy("advertiser_id", family).orderBy(order)) > 1)
     if not repeats:
         rows = rows.where("not _copy")

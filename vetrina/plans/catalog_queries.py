@@ -1,6 +1,6 @@
 """All catalogue queries by name, and their SQL."""
 
-from vetrina.plans import search_queries  # noqa: F401  registers its queries
+from vetrina.plans import search_queries, snapshot_queries, text_queries  # noqa: F401  they register their queries
 from vetrina.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

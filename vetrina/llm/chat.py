@@ -104,6 +104,10 @@ def typed_turns(layout: str) -> Column:
     return LAYOUTS[layout][2](F.col)
 
 
+def _prefixed(names: Column, prefix: str) -> Column:
+    return F.transform(names, lambda k: F.concat(F.lit(prefix), k))
+
+
 def json_fingerprint(record: Column) -> Column:
     """The fingerprint of a JSON string: its own nested field paths, hashed."""
     keys = F.coalesce(F.json_object_keys(record), F.expr("array()").cast("array<string>"))
@@ -111,7 +115,7 @@ def json_fingerprint(record: Column) -> Column:
     for name in _CONTAINERS:
         inner = F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), F.expr("array()").cast("array<string>"))
         own = [p for p in _KNOWN if p.startswith(f"{name}[]")]
-        parts.append(F.array_intersect(F.transform(inner, lambda k, name=name: F.concat(F.lit(f"{name}[]."), k)), F.array(*map(F.lit, sorted(own)))))
+        parts.append(F.array_intersect(_prefixed(inner, f"{name}[]."), F.array(*map(F.lit, sorted(own)))))
     return F.sha2(F.concat_ws("\n", F.array_sort(F.array_distinct(F.concat(*parts)))), 256)
 
 

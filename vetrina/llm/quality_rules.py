@@ -29,8 +29,8 @@ SMOOTHING = 1.0
 #: How far below the target's own mean a document's ratio may be.
 MARGIN = 0.25
 MIN_WORDS, REPEAT_WORDS, MAX_REPEAT_PERCENT = 10, 5, 20
-#: Bytes that are taken together.
-CHUNK = 2 << 20
+#: Bytes that are taken together, few enough that their arrays stay in cache.
+CHUNK = 256 << 10
 _SYMBOLS = b"#*$%&|<>"
 
 
@@ -135,7 +135,8 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
 
 def _trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return docs.select("doc_id", common.text_bytes().alias("text")).join(trusted, "doc_id", "left_semi")
+    # Alike at every size: the labels grow with the corpus, so they are merged, never broadcast.
+    return docs.select("doc_id", common.text_bytes().alias("text")).join(trusted.hint("merge"), "doc_id", "left_semi")
 
 
 def threshold(target: np.ndarray, ratio: np.ndarray) -> float:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from vetrina.llm import common
 
-#: Chunks and words that a worker remembers, at most.
+#: Chunks that a worker remembers in each of two generations, at most.
 MEMORY = 300_000
 #: The library's white space is Unicode's; ``str.split`` also splits at these four.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -90,8 +90,8 @@ class WordBpe:
         self.shorter: dict[int, int] = {}
         self.fits: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         strings = [b""] * (max([n, *(i + 1 for i in self.special.values())]))
         for t, i in [*vocab.items(), *self.special.items()]:
             strings[i] = t.encode() + b" "
@@ -165,10 +165,14 @@ class WordBpe:
     def _longest(self, symbols: str, at: int) -> int:
         """The longest token that starts at ``at``."""
         ahead = symbols[at : at + self.longest]
-        for n in range(self.tokens.longest_prefix(ahead), 0, -1):
-            if (i := self.by_text.get(ahead[:n])) is not None:
-                return i
-        raise ValueError(f"no token for {symbols[at]!r}")
+        n = self.tokens.longest_prefix(ahead)
+        token = self.by_text.get(ahead[:n])
+        while token is None:
+            n -= 1
+            if not n:
+                raise ValueError(f"no token for {symbols[at]!r}")
+            token = self.by_text.get(ahead[:n])
+        return token
 
     def _reachable(self, token: int) -> bool:
         """Whether merging the token's own symbols gives the token."""
@@ -178,45 +182,43 @@ class WordBpe:
             good = self.whole[token] = merged == 0 or (self._reachable(a) and self._reachable(b) and self._pair_fits(a, b, merged))
         return good
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _piece(self, piece: str) -> bytes:
         """Ids of one match of the vocabulary's splitting pattern."""
         symbols = piece if piece.isascii() and piece.isalpha() else "".join([self.letter[b] for b in piece.encode()])
-        return self.word(symbols[:-1] + chr(ord(symbols[-1]) + 0x1000))
+        return array.array("I", self.word(symbols[:-1] + chr(ord(symbols[-1]) + 0x1000))).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        # Letters alone, or with one mark behind them, need no pattern.
-        if chunk.isalpha():
-            pieces = [chunk]
-        elif chunk[-1] in ".,!?;:" and chunk[:-1].isalpha():
-            pieces = [chunk[:-1], chunk[-1]]
-        else:
-            pieces = self.pieces.findall(chunk)
-        ids: list[int] = []
-        for piece in pieces:
-            found = self.words.get(piece)
-            if found is None:
-                found = self._piece(piece)
-                if len(piece) <= 64:
-                    self.words[piece] = found
-            ids.extend(found)
-        return array.array("I", ids).tobytes()
+        """Ids of what stands between white space; chunks and their pieces share one memory."""
+        found = self.older.get(chunk)
+        if found is None:
+            # Letters alone, or with one mark behind them, need no pattern.
+            if chunk.isalpha():
+                found = self._piece(chunk)
+            elif not chunk:
+                return b""
+            else:
+                pieces = [chunk[:-1], chunk[-1]] if chunk[-1] in ".,!?;:" and chunk[:-1].isalpha() else self.pieces.findall(chunk)
+                if len(pieces) == 1 and pieces[0] == chunk:
+                    found = self._piece(chunk)
+                else:
+                    found = b"".join([self.known.get(p) or self._chunk(p) for p in pieces])
+        if len(chunk) <= 64:
+            self.known[chunk] = found
+        return found
 
     def _plain(self, text: str) -> list[bytes]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
         chunks = text.split() if _NOT_SPACE.search(text) is None else regex.split(r"\p{White_Space}+", text)
-        known, out = self.chunks, []
-        for chunk in chunks:
-            ids = known.get(chunk)
-            if ids is None:
-                ids = self._chunk(chunk) if chunk else b""
-                if len(chunk) <= 64:
-                    known[chunk] = ids
-            out.append(ids)
-        for memory in (known, self.words, self.fits):
-            if len(memory) > MEMORY:
-                memory.clear()
+        out = list(map(self.known.get, chunks))
+        if None in out:
+            out = [self.known.get(c) or self._chunk(c) if x is None else x for c, x in zip(chunks, out, strict=True)]
+            # What was not met since the memory was last full is forgotten.
+            if len(self.known) > MEMORY:
+                self.older, self.known = self.known, {}
+            if len(self.fits) > MEMORY:
+                self.fits.clear()
         return out
 
     def encode(self, text: str) -> np.ndarray:

@@ -36,6 +36,63 @@ def test_license_scan_is_brute_force(docs):
     assert licenses.licenses(docs([])).count() == 0
 
 
+def _embedded(text, templates, least=0.8):
+    """(license, dice) of the runs that count, comparing every stretch of words with every template."""
+    split = lambda s: re.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in s))
+    pairs = lambda w: list(zip(w, w[1:], strict=False))
+    dice = lambda p, q: 2 * len(set(p) & set(q)) / (len(set(p)) + len(set(q)))
+    known = {n: pairs(split(t)) for n, t in templates.items()}
+    lines, matched, at = [split(x) for x in text.split("\n")], [], 0
+    for k, w in enumerate([*lines, sum(lines, [])]):
+        whole = k == len(lines)
+        first = 0 if whole else at
+        top = max((dice(pairs(w), q) for q in known.values()), default=0) if len(w) > 1 else 0
+        if top >= least:
+            matched.append((first, first + len(w), top, not whole))
+        at += 0 if whole else len(w)
+    p = pairs(sum(lines, []))
+    found = []
+    for k, (n, q) in enumerate(sorted(known.items())):
+        for i in range(len(p)):
+            ends = [j for j in range(i, min(len(p), i + int(len(q) * (2 - least) / least + 1e-9))) if p[i] in q and p[j] in q]
+            best = max(((dice(p[i : j + 1], q), -j) for j in ends), default=(0, 0))
+            if best[0] >= least:
+                found.append((-best[0], -k, i, 2 - best[1], n))
+    kept = []
+    for d, _, a, b, n in sorted(found):
+        seen = any((line and f <= a and b <= e) or (f < b and a < e and c >= -d) for f, e, c, line in matched)
+        if not seen and not any(a < y and x < b for x, y, *_ in kept):
+            kept.append((a, b, n, -d))
+    return sorted((n, round(d, 6)) for _, _, n, d in kept)
+
+
+def test_license_notices_wrapped_and_embedded(docs):
+    code = "import os\n\ndef f(x):\n    return x + 1\n" * 5
+    prose = "Plain prose under the tree, and the license of the poet is to be read with the rights of all. " * 3
+    rows, name_of = [], {}
+    for k, (name, text) in enumerate(sorted(licenses.TEMPLATES.items())):
+        words = text.split()
+        wrapped = "\n".join("# " + " ".join(words[i : i + 3]) for i in range(0, len(words), 3))
+        rows += [(4 * k, prose + "\n" + wrapped + "\n" + code), (4 * k + 1, f"{prose} {text} {prose}"), (4 * k + 2, f"{wrapped}\n{prose}\n{wrapped}"), (4 * k + 3, wrapped + "\n" + "\n".join(words[::2]) + prose)]
+        name_of |= {4 * k + j: name for j in range(4)}
+    rows += [(90, "Copyright 2024 Foo. Released under the MIT License."), (91, "Released under\nthe MIT License. " + prose), (92, prose), (93, prose + " Released under the MIT License. Licensed under the Apache License, Version 2.0. " + prose), (94, "Released under the MIT License.\n" * 3 + prose)]
+    got = {}
+    for r in licenses.scan(docs(rows)).where("unit is null").collect():
+        got.setdefault(r.doc_id, []).append((r.license, round(r.dice, 6)))
+    assert {i: sorted(g) for i, g in got.items()} == {i: g for i, t in rows if (g := _embedded(t, licenses.TEMPLATES))}
+    best = {r.doc_id: (r.license, r.dice) for r in licenses.licenses(docs(rows)).collect()}
+    for i, name in name_of.items():
+        assert best[i][0] == name and best[i][1] >= 0.8, i
+    assert best[90] == best[91] == ("MIT", 1.0) and best[92] == (None, None)
+    assert {n for n, _ in got[93]} == {"Apache-2.0", "MIT"} and 94 not in got
+
+
+def test_license_needed_words_lose_nothing():
+    for grams in licenses.template_bigrams(licenses.TEMPLATES).values():
+        words = licenses.needed_words(grams, 0.8)
+        assert sum(not set(words) & set(g.split()) for g in grams) < licenses.size_bounds(len(grams), 0.8)[0]
+
+
 def test_license_bounds_lose_nothing():
     for n in (3, 7, 40):
         low, high = licenses.size_bounds(n, 0.8)

@@ -1,10 +1,19 @@
 """License scans: word-bigram Dice against licence templates, JVM-side throughout.
 
-A text is compared as a whole and line by line. Normalising lower-cases it and turns everything but ASCII letters,
+A text is compared as a whole, line by line, and by runs of words, so that a notice is found that is wrapped over lines
+or has more words around it on its line. Normalising lower-cases it and turns everything but ASCII letters,
 ASCII digits and letters beyond ASCII into white space. A unit with a bigrams can reach a Dice coefficient of ``least``
 with a template of b bigrams only if least / (2 - least) <= a / b <= (2 - least) / least; templates outside these bounds
 are not compared.
 
+A run of a template is a stretch of words, over line breaks, whose first and last bigrams are the template's: any other
+stretch loses nothing by being cut down to one. It has (2 - least) / least times the template's bigrams at most, repeats
+counted. Of the runs of a template with the same start the best stands, of equals the shortest; runs of all templates
+that overlap are settled from the best down (of equals the template that comes last by name, then the first start). A
+run within a line that matches, or that shares words with a line or text that matches as well or better, is not
+reported again. Units are compared, and runs sought, only in texts with one of the words that a template cannot do
+without, and runs only with least / (2 - least) of the template's bigrams in the text: nothing that matches lacks them.
+
 Defined cases: null and empty texts match nothing; a unit of one word has no bigrams and matches nothing; bigrams count
 once per unit; among equal coefficients the template that comes last by name wins; rows that repeat a doc_id share one
 answer over all their units; an empty table gives an empty result; extra columns are not read.
@@ -13,7 +22,10 @@ answer over all their units; an empty table gives an empty result; extra columns
 from __future__ import annotations
 
 import math
+import operator
 import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +53,8 @@ TEMPLATES = {
 #: ASCII signs and white space but the line break, each of which separates words, and the upper-case letters.
 _BREAKS = "".join(chr(c) for c in range(1, 128) if not chr(c).isalnum() and chr(c) not in " \n")
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_RUNS = "array<struct<order: double, rank: int, first: int, last: int>>"
+_MATCHED = "array<struct<first: int, last: int, dice: double, line: boolean>>"
 
 
 def template_bigrams(templates: dict[str, str]) -> dict[str, list[str]]:
@@ -57,34 +71,132 @@ def size_bounds(n: int, least: float) -> tuple[int, int]:
     return math.ceil(n * least / (2 - least) - 1e-9), math.floor(n * (2 - least) / least + 1e-9)
 
 
-def _bigrams(words: Column) -> Column:
+def _pairs(words: Column) -> Column:
+    """The bigrams in their order, with repeats."""
     rest = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.array_distinct(F.zip_with(F.slice(words, 1, rest), F.slice(words, 2, rest), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return F.zip_with(F.slice(words, 1, rest), F.slice(words, 2, rest), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def _bigrams(words: Column) -> Column:
+    return F.array_distinct(_pairs(words))
+
+
+def needed_words(grams: list[str], least: float) -> list[str]:
+    """Words of which a unit that reaches ``least`` against ``grams`` has one at least, the longest that there are."""
+    left, out = list(grams), []
+    while len(left) >= size_bounds(len(grams), least)[0]:
+        out.append(max({w for g in left for w in g.split()}, key=lambda w: (len(w), w)))
+        left = [g for g in left if out[-1] not in g.split()]
+    return out
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _may_match(text: Column, known: dict[str, list[str]], least: float) -> Column:
+    """Whether ``text`` has, maybe within a longer word, a word that some template needs."""
+    some = {w for grams in known.values() for w in needed_words(grams, least)}
+    return reduce(operator.or_, (F.contains(text, F.lit(w)) for w in sorted(some) if not any(v != w and v in w for v in some)))
+
+
+def _once(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """``rows`` with ``value``, behind a generator: filters pushed down would compute it again at every use."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(line, " "), "")
+
+
+def _dice(bigrams: Column, grams: list[str]) -> Column:
+    return F.lit(2.0) * F.size(F.array_intersect(bigrams, F.array(*map(F.lit, grams)))) / (F.size(bigrams) + F.lit(len(grams)))
+
+
+def _best(bigrams: Column, known: dict[str, list[str]], least: float) -> Column:
+    """struct(dice, license) of the best template for distinct bigrams; null where their number fits none."""
+    found = []
+    for name, grams in known.items():
+        found.append(F.when(F.size(bigrams).between(*size_bounds(len(grams), least)), F.struct(_dice(bigrams, grams).alias("dice"), F.lit(name).alias("license"))))
+    return F.array_max(F.array(*found))
+
+
+def _runs_of(pairs: Column, grams: list[str], length: int, rank: int, least: float) -> Column:
+    """The best run of a template from each start: struct(order, rank, first, last), in words; order is minus the coefficient."""
+    low = size_bounds(len(grams), least)[0]
+    longest = math.floor(length * (2 - least) / least + 1e-9)
+    own = F.array(*map(F.lit, grams))
+
+    def run(start: Column) -> Column:
+        piece = F.slice(pairs, start + 1, F.lit(longest))
+
+        def best(piece: Column) -> Column:
+            ends = F.filter(F.sequence(F.lit(1), F.size(piece)), lambda n: (n >= low) & F.array_contains(own, F.get(piece, n - 1)))
+            scored = F.transform(ends, lambda n: _let(F.array_distinct(F.slice(piece, F.lit(1), n)), lambda g: F.struct((-_dice(g, grams)).alias("order"), n.alias("n"))))
+            return F.array_min(scored)
+
+        return _let(piece, best)
+
+    def of(hits: Column) -> Column:
+        starts = F.filter(hits, lambda s, k: F.get(hits, k + (low - 1)) < s + longest)
+        runs = F.transform(starts, lambda s: _let(run(s), lambda r: F.struct(r["order"].alias("order"), F.lit(-rank).alias("rank"), s.alias("first"), (s + r["n"] + 1).alias("last"))))
+        return F.filter(runs, lambda r: r["order"] <= -least)
+
+    hits = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda i: F.array_contains(own, F.get(pairs, i)))
+    enough = F.size(F.array_intersect(pairs, own)) >= low
+    return F.when(enough, _let(hits, of)).otherwise(F.expr("array()").cast(_RUNS))
+
+
+def runs(rows: DataFrame, templates: dict[str, str], least: float) -> DataFrame:
+    """Runs of words that match and are not part of what is reported otherwise: doc_id, license, dice.
+
+    ``rows`` has doc_id and the cleaned text.
+    """
+    known = template_bigrams(templates)
+    rows = _once(rows, F.transform(F.split("_text", "\n"), _words), "_lines")
+    rows = _once(rows, _let(F.flatten("_lines"), _pairs), "_pairs")
+    lengths = {name: len(re.findall(r"[a-z0-9]+", templates[name].lower())) - 1 for name in known}
+    every = [_runs_of(F.col("_pairs"), grams, lengths[name], k, least) for k, (name, grams) in enumerate(known.items())]
+    rows = _once(rows, F.array_sort(F.concat(*every)), "_runs").where(F.size("_runs") > 0)
+
+    def matched(first: Column, words: Column, pairs: Column, line: bool) -> Column:
+        best = lambda g: F.when(_best(g, known, least)["dice"] >= least, F.array(F.struct(first.alias("first"), (first + F.size(words)).alias("last"), _best(g, known, least)["dice"].alias("dice"), F.lit(line).alias("line"))))
+        return F.coalesce(_let(F.array_distinct(pairs), best), F.expr("array()")).cast(_MATCHED)
+
+    start = F.struct(F.lit(0).alias("at"), F.expr("array()").cast(_MATCHED).alias("found"))
+    step = lambda s, words: F.struct((s["at"] + F.size(words)).alias("at"), F.concat(s["found"], matched(s["at"], words, _pairs(words), True)).alias("found"))
+    lines = F.aggregate("_lines", start, step, lambda s: s["found"])
+    rows = _once(rows, F.concat(lines, matched(F.lit(0), F.flatten("_lines"), F.col("_pairs"), False)), "_matched")
+    overlap = lambda a, b: (a["first"] < b["last"]) & (b["first"] < a["last"])
+    known_by = lambda m, r: (m["line"] & (m["first"] <= r["first"]) & (r["last"] <= m["last"])) | (overlap(m, r) & (m["dice"] >= -r["order"]))
+    fresh = F.filter("_runs", lambda r: ~F.exists("_matched", lambda m: known_by(m, r)))
+    settled = F.aggregate(fresh, F.expr("array()").cast(_RUNS), lambda kept, r: F.when(F.exists(kept, lambda k: overlap(k, r)), kept).otherwise(F.concat(kept, F.array(r))))
+    names = F.array(*map(F.lit, known))
+    return _once(rows, settled, "_settled").select("doc_id", F.explode("_settled").alias("_run")).select("doc_id", F.get(names, -F.col("_run.rank")).alias("license"), (-F.col("_run.order")).alias("dice"))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """Units that match: doc_id, unit (0: the whole text of several lines, else the line's number), license, dice."""
+    """What matches: doc_id, unit (0: the whole text of several lines, null: a run of words, else the line's number), license, dice."""
     known = template_bigrams(templates)
-    bounds = {name: size_bounds(len(grams), least) for name, grams in known.items()}
-    fewest, most = min(low for low, _ in bounds.values()), max(high for _, high in bounds.values())
+    bounds = [size_bounds(len(grams), least) for grams in known.values()]
+    fewest, most = min(low for low, _ in bounds), max(high for _, high in bounds)
     clean = F.translate(F.coalesce("text", F.lit("")), _UPPER + _BREAKS, _UPPER.lower() + " " * len(_BREAKS))
+    texts = _once(docs.select("doc_id", "text"), clean, "_text").drop("text").where(_may_match(F.col("_text"), known, least))
     lines = F.split(F.col("_text"), "\n")
     units = F.when(F.size(lines) > 1, F.concat(F.array(F.translate("_text", "\n", " ")), lines)).otherwise(F.concat(F.array(F.lit("")), lines))
-    rows = docs.select("doc_id", clean.alias("_text")).select("doc_id", F.posexplode(units).alias("unit", "_line"))
-    rows = rows.select("doc_id", "unit", F.array_remove(F.split("_line", " "), "").alias("_words"))
+    rows = texts.select("doc_id", F.posexplode(units).alias("unit", "_line")).where(_may_match(F.col("_line"), known, least))
+    rows = rows.select("doc_id", "unit", _words(F.col("_line")).alias("_words"))
     # n distinct words make n - 1 distinct bigrams at least: units beyond every template's bounds build none.
     rows = rows.where((F.size("_words") > fewest) & (F.size(F.array_distinct("_words")) <= most + 1))
     rows = rows.select("doc_id", "unit", _bigrams(F.col("_words")).alias("_bigrams"))
-    found = []
-    for name, grams in known.items():
-        dice = F.lit(2.0) * F.size(F.array_intersect(F.col("_bigrams"), F.array(*map(F.lit, grams)))) / (F.size("_bigrams") + F.lit(len(grams)))
-        found.append(F.when(F.size("_bigrams").between(*bounds[name]), F.struct(dice.alias("dice"), F.lit(name).alias("license"))))
-    rows = rows.select("doc_id", "unit", F.array_max(F.array(*found)).alias("_best")).where(F.col("_best.dice") >= least)
-    return rows.select("doc_id", "unit", F.col("_best.license").alias("license"), F.col("_best.dice").alias("dice"))
+    rows = rows.select("doc_id", "unit", _best(F.col("_bigrams"), known, least).alias("_best")).where(F.col("_best.dice") >= least)
+    rows = rows.select("doc_id", "unit", F.col("_best.license").alias("license"), F.col("_best.dice").alias("dice"))
+    return rows.unionByName(runs(texts, templates, least), allowMissingColumns=True)
 
 
 def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_matches (units that match), license and dice of the best (null if none)."""
+    """One row per row of ``docs``: doc_id, n_matches (units and runs that match), license and dice of the best (null if none)."""
     found = scan(docs, templates, least).groupBy(F.col("doc_id").alias("_id"))
     found = found.agg(F.count("*").alias("n_matches"), F.max(F.struct("dice", "license")).alias("_best"))
     rows = docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")

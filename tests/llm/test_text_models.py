@@ -1,3 +1,4 @@
+import itertools
 import re
 from collections import Counter
 
@@ -166,6 +167,18 @@ def test_url_model_learns_held_out_urls(spark):
     assert {r.verdict for r in alone.collect()} == {"allow"}
 
 
+def test_url_verdicts_do_not_depend_on_the_sample(spark, monkeypatch):
+    """Urls of equal features, one in six blocked, beside clean ones of another kind: allowed below and above the bound."""
+    names = ["".join(p) for p in itertools.permutations("abcdef")]
+    rows = [(f"http://shop.example.net/{n}", int(i % 6 == 0)) for i, n in enumerate(names)] + [(f"http://shop.example.net/2024/long/{n}", 0) for n in names]
+    labelled = spark.createDataFrame(rows, "url string, label int")
+    pages = spark.createDataFrame(list(enumerate(u for u, _ in rows[::40])), "page_id long, url string")
+    whole = {r.page_id: r.verdict for r in urls.judge(pages, urls.RULES[:1], labelled).collect()}
+    monkeypatch.setattr(urls, "TRAIN_ROWS", 100)
+    assert {r.page_id: r.verdict for r in urls.judge(pages, urls.RULES[:1], labelled).collect()} == whole
+    assert set(whole.values()) == {"allow"}
+
+
 def _base(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]

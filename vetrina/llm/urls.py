@@ -3,7 +3,8 @@
 Features of a url: its length, the depth of its path, shares of digits and of hyphens, the entropy of its characters,
 its number of parameters, host labels, and two statistics of its host's last label over the labelled urls (their
 number, and the smoothed share of blocked ones). Trees are fitted on a bounded sample of labelled urls, ``TRAIN_ROWS``
-of each label at most, the first by a hash of the url. Every url is judged.
+of each label at most, the first by a hash of the url, weighted so that each label counts as often as in all labelled
+urls. Every url is judged.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the model
 on its own characters (a null url as an empty one); an empty path fits no rule, as every rule's path starts with a
@@ -95,9 +96,9 @@ class UrlModel:
         self.model: PipelineModel | None = None
         if self.only is None:
             rows = self._joined(labelled)
-            picks = [rows.where(F.col("label") == y).orderBy(F.xxhash64("url"), *FEATURES).limit(TRAIN_ROWS) for y in (0, 1)]
-            sample = common.materialize(picks[0].union(picks[1]).select("label", *FEATURES), "urls-sample")
-            trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=5, featuresCol="_features", labelCol="label", predictionCol="_blocked")
+            picks = [rows.where(F.col("label") == y).orderBy(F.xxhash64("url"), *FEATURES).limit(TRAIN_ROWS).withColumn("_weight", F.lit(counts[y] / min(counts[y], TRAIN_ROWS))) for y in (0, 1)]
+            sample = common.materialize(picks[0].union(picks[1]).select("label", "_weight", *FEATURES), "urls-sample")
+            trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=5, featuresCol="_features", labelCol="label", weightCol="_weight", predictionCol="_blocked")
             self.model = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="_features"), trees]).fit(sample)
 
     def _joined(self, rows: DataFrame) -> DataFrame:

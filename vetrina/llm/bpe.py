@@ -1,10 +1,11 @@
 """BPE encoding and decoding with a public word-level vocabulary.
 
-Encoding. A word's symbols are walked with an Aho-Corasick automaton that gives the longest token at a position. A
-candidate is kept only if the pair table says that it can stand beside its left neighbour in a finished merge sequence;
-otherwise the next shorter token is tried, and when none is left the walk backtracks one token. The first complete walk
-is the exact merge result, in time linear in the word. Chunks between white space repeat, so each worker keeps a
-bounded table of chunks already encoded.
+Encoding. An Aho-Corasick automaton of all tokens reads a word once and gives the longest token at each position. A walk
+from the left keeps a candidate only if the pair table says that it can stand beside its left neighbour in a finished
+merge sequence; otherwise the next shorter token, known for every token beforehand, is tried, and when none is left the
+walk backtracks one token and never enters that position again. The first complete walk is the exact merge result, in
+time linear in the word for a given vocabulary. Chunks between white space repeat, so each worker keeps a bounded table
+of chunks already encoded.
 
 Decoding. All token strings lie in one byte table with an offset per id; a text is gathered from it. The vocabulary
 names no decoder, so tokens are joined by one space, as the library's ``decode`` does.
@@ -74,9 +75,13 @@ class WordBpe:
         self.length = {i: len(keyed[t]) for t, i in vocab.items()}
         self.tokens = ahocorasick.Automaton()
         for t, i in vocab.items():
-            self.tokens.add_word(keyed[t], i)
+            self.tokens.add_word(keyed[t], (i, len(keyed[t]) - 1))
+        self.tokens.make_automaton()
         self.by_text = {keyed[t]: i for t, i in vocab.items()}
-        self.longest = max(map(len, self.by_text))
+        # The longest token that is a proper prefix of each token; -1 if none.
+        self.shorter = [-1] * (max(vocab.values()) + 1)
+        for t, i in self.by_text.items():
+            self.shorter[i] = next((self.by_text[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.by_text), -1)
         # Ids are not assumed to follow the merges' order: a rank is a token's place among the merges.
         n = max(vocab.values()) + 1
         self.rank = [0] * n
@@ -87,7 +92,6 @@ class WordBpe:
             made = vocab[a + b]
             self.split[made], self.rank[made] = (vocab[a], vocab[b]), at + 1
             self.merged[vocab[a], vocab[b]] = at + 1
-        self.shorter: dict[int, int] = {}
         self.fits: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
@@ -117,62 +121,41 @@ class WordBpe:
             else:
                 bound, right = rank[right] + 1, split[right][0]
 
-    def _next_shorter(self, token: int, text: str) -> int:
-        """The longest token that is a proper prefix of ``token``; -1 if none."""
-        found = self.shorter.get(token)
-        if found is None:
-            found = -1
-            for n in range(len(text) - 1, 0, -1):
-                if (i := self.by_text.get(text[:n])) is not None:
-                    found = i
-                    break
-            self.shorter[token] = found
-        return found
-
     def word(self, symbols: str) -> tuple[int, ...]:
         """Ids of a word given as byte letters, the last one moved to the word-end letters."""
         whole = self.by_text.get(symbols)
         if whole is not None and self._reachable(whole):
             return (whole,)
+        n, length, shorter, fits, width = len(symbols), self.length, self.shorter, self.fits, len(self.rank)
+        longest = [-1] * n
+        for end, (token, back) in self.tokens.iter(symbols):
+            longest[end - back] = token
+        if -1 in longest:
+            raise ValueError(f"no token for {symbols[longest.index(-1)]!r}")
         out, ends, dead = [], [0], set()
-        n, length, fits, width = len(symbols), self.length, self.fits, len(self.rank)
-        at, token = 0, self._longest(symbols, 0)
+        at, token, left = 0, longest[0], -1
         while True:
             while token >= 0:
                 to = at + length[token]
                 if to not in dead:
                     # The pair table is filled as pairs are met; the start of a word is the left neighbour -1.
-                    key = (out[-1] if out else -1) * width + token
-                    good = fits.get(key)
+                    good = fits.get(key := left * width + token)
                     if good is None:
-                        good = fits[key] = self._reachable(token) and (not out or self._pair_fits(out[-1], token, width + 1))
+                        good = fits[key] = self._reachable(token) and (left < 0 or self._pair_fits(left, token, width + 1))
                     if good:
                         break
-                token = self._next_shorter(token, symbols[at:to])
+                token = shorter[token]
             if token >= 0:
                 if to == n:
                     return (*out, token)
                 out.append(token)
                 ends.append(to)
-                at, token = to, self._longest(symbols, to)
+                at, left, token = to, token, longest[to]
             else:
                 dead.add(at)
-                token = out.pop()
+                token = shorter[out.pop()]
                 ends.pop()
-                at = ends[-1]
-                token = self._next_shorter(token, symbols[at : at + length[token]])
-
-    def _longest(self, symbols: str, at: int) -> int:
-        """The longest token that starts at ``at``."""
-        ahead = symbols[at : at + self.longest]
-        n = self.tokens.longest_prefix(ahead)
-        token = self.by_text.get(ahead[:n])
-        while token is None:
-            n -= 1
-            if not n:
-                raise ValueError(f"no token for {symbols[at]!r}")
-            token = self.by_text.get(ahead[:n])
-        return token
+                at, left = ends[-1], out[-1] if out else -1
 
     def _reachable(self, token: int) -> bool:
         """Whether merging the token's own symbols gives the token."""

@@ -5,7 +5,8 @@ There, patterns of a few documents are enumerated on a coarse grid, their repeat
 non-negative least squares (active set) and rounded down, and the patterns are filled with exact lengths: the last place
 of each takes the best fit. What is left is packed by best fit, longest first. The plan is a list of rank ranges by
 length, so each piece finds its sequence and offset from its rank among the pieces of its length. Ranks are counted
-within salted parts of a length, so that a common length does not meet in one task.
+within salted parts of a length, of which the histogram gives each length as many as it needs, so that a common length
+does not meet in one task. A piece that fills a sequence needs no rank and takes no part in any shuffle.
 
 Defined cases: a null or empty text is one piece of one token (the end id); repeated rows are packed as often as they
 occur; only documents longer than a sequence are cut, and only their last piece may be shorter; an empty table gives an
@@ -28,8 +29,8 @@ from vetrina.llm import bpe, common
 CAPACITY, END_ID = 4096, 1
 #: Cells of the coarse grid, and documents of an enumerated pattern at most.
 GRID, PLACES = 64, 4
-#: Parts in which the pieces of one length are ranked.
-SALTS = 64
+#: Pieces of one length that are ranked together, about.
+RANKED = 100_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -48,13 +49,13 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
                     part = ids[at : at + capacity]
                     rows.append((doc_id, k, at, len(part), zlib.crc32(part)))
                     if with_ids:
-                        tokens.append(part.astype(np.int64))
+                        tokens.append(part.astype(np.int32))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(tokens, pa.list_(pa.int64()))] if with_ids else [])], names=names + ["ids"] * with_ids)
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(tokens, pa.list_(pa.int32()))] if with_ids else [])], names=names + ["ids"] * with_ids)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(cut, _PIECE + ", ids array<long>" * with_ids)
+    return rows.mapInArrow(cut, _PIECE + ", ids array<int>" * with_ids)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
@@ -162,19 +163,22 @@ class Plan:
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``cut`` (materialised pieces) with sequence_id and offset."""
+    """``cut`` (materialised pieces, with a number of each row as ``_row``) with sequence_id and offset."""
+    names = [c for c in cut.columns if c != "_row"]
     histogram = np.zeros(capacity + 1, np.int64)
     for r in cut.groupBy("length").count().collect():  # a row for each length up to the capacity
         histogram[r["length"]] = r["count"]
+    full = int(histogram[capacity])
+    histogram[capacity] = 0
     plan = Plan(histogram, capacity)
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    part = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
+    # One number per length up to the capacity, as part of the plan.
+    parts = F.array(*(F.lit(int(n)) for n in 1 + histogram // RANKED))
+    salted = cut.where(F.col("length") < capacity).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.get(parts, F.col("length").cast("int"))).cast("int"))
+    part = Window.partitionBy("length", "_salt").orderBy("_row")
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = salted.groupBy("length", "_salt").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     ranked = salted.withColumn("_rank", F.row_number().over(part) - F.lit(1)).join(counts, ["length", "_salt"])
-    ranked = ranked.select(*cut.columns, (F.col("_rank") + F.col("_before")).cast("long").alias("_rank"))
-
-    names = cut.columns
+    ranked = ranked.select(*names, (F.col("_rank") + F.col("_before")).cast("long").alias("_rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,13 +186,18 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             kept = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
-    return ranked.mapInArrow(run, f"{fields}, sequence_id long, offset long")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name in names)
+    placed = ranked.mapInArrow(run, f"{fields}, sequence_id long, offset long")
+    if not full:
+        return placed
+    whole = cut.where(F.col("length") == capacity)
+    return placed.union(whole.select(*names, (F.col("_row") + plan.sequences).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece with its place: doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset."""
-    return place(common.materialize(pieces(docs, vocabulary, CAPACITY, with_ids), "pieces"))
+    cut = pieces(docs, vocabulary, CAPACITY, with_ids).withColumn("_row", F.monotonically_increasing_id())
+    return place(common.materialize(cut, "pieces"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 
 from vetrina.llm import common, exact_dedup, simhash, substring_dedup
@@ -82,10 +83,12 @@ def test_near_duplicates_are_brute_force(docs, corpus):
     assert got == {i: (f"{prints[i]:016x}", want[i]) for i in prints}
 
 
-def test_links_over_deep_trees_and_blocks(spark, monkeypatch):
-    """Fingerprints at distances up to 5, a dense cluster among them, with tiny shards that are dealt in blocks."""
+@pytest.mark.parametrize(("cap", "depth"), [(40, 14), (16_384, 2)])
+def test_links_over_deep_trees_and_blocks(spark, monkeypatch, cap, depth):
+    """Fingerprints at distances up to 5, a dense cluster among them, with tiny shards that are dealt in blocks or have second trees."""
     monkeypatch.setattr(simhash, "SHARD_GOAL", 16)
-    monkeypatch.setattr(simhash, "SHARD_CAP", 40)
+    monkeypatch.setattr(simhash, "SHARD_CAP", cap)
+    monkeypatch.setattr(simhash, "MAX_DEPTH", depth)
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 150, dtype=np.int64)
     prints = set(base.tolist())
@@ -103,6 +106,18 @@ def test_links_over_deep_trees_and_blocks(spark, monkeypatch):
     assert got == {p: want[i] for i, p in rows}
 
 
+def test_a_null_doc_id_links_and_repeated_doc_ids_are_judged_by_row(docs):
+    base = " ".join(f"w{i}" for i in range(400))
+    near = base.replace("w399", "v399")
+    assert 0 < (_fingerprint(base) ^ _fingerprint(near)).bit_count() <= 4
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs([(None, base), (4, near), (9, "alone here")])).collect()}
+    assert got == {(None, 4), (4, 4), (9, 9)}
+    rows = docs([(7, base), (7, "quite another text"), (3, base), (3, base), (None, "nobody has this one"), (8, near)], extra="_sh_id")
+    kept = simhash.drop_near_copies(rows)
+    assert kept.columns == rows.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "nobody has this one"), (3, base), (7, "quite another text")]
+
+
 def test_bands_cover_the_radius():
     for radius in (3, 4, 6):
         bands = simhash.bands(radius)

@@ -70,7 +70,7 @@ def _hooked(edges: DataFrame, label: str) -> DataFrame:
     The minima are pre-aggregated and written, so both join sides are plain exchanges and a hub's edges can be split.
     """
     minima = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), label)
-    return edges.join(minima.withColumn("m", F.least("m", "u")), "u")
+    return edges.join(minima.withColumn("m", F.least("m", "u")).hint("merge"), "u")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

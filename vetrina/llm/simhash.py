@@ -10,24 +10,29 @@ the distance to a vantage point; its leaves are the shards. Every fingerprint ha
 those further shards that the triangle inequality cannot exclude. Within a shard the pairs are exact: all 64 bits.
 Trees are fitted on a bounded sample (``SAMPLE``); every fingerprint is indexed, and recall is 1 by construction.
 
-A shard that outgrows ``SHARD_CAP`` rows is dealt out in blocks of homes and blocks of visitors. Shards give spanning
-stars, never all pairs of a group.
+A tree of one band is ``MAX_DEPTH`` deep at most. Beyond that a shard is cut further by the tree of a second band: of two
+fingerprints within four bits that are near on one band, one of the other two bands is within two bits, so either second
+tree, with radius two, finds its share of the links. Shards so stay about ``SHARD_GOAL`` large as fingerprints grow.
+
+A shard that outgrows ``SHARD_CAP`` rows nevertheless is dealt out in blocks of homes and blocks of visitors. Shards give
+spanning stars, never all pairs of a group. Links are between fingerprints; documents only name the components.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; repeated rows are answered row by
-row; a null doc_id joins its group but is never a component's name unless the group has no other; an empty table gives
-an empty result; only doc_id and text are read.
+row; a null doc_id links like any other, and is a component's name only if the component has no other; an empty table
+gives an empty result; only doc_id and text are read. ``drop_near_copies`` keeps one row of each component, that of its
+name (of rows that share it, the one with the least hash of its text), whatever its columns are called.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetrina.llm import common
@@ -38,7 +43,7 @@ RADIUS = 4
 SAMPLE = 20_000
 #: Homes (or visitors) of a shard that one task compares, at most.
 SHARD_CAP = 16_384
-#: Homes that a shard should have, and the depth of a tree at most.
+#: Homes that a shard should have, and the depth of one tree at most.
 SHARD_GOAL, MAX_DEPTH = 2_048, 14
 
 
@@ -68,13 +73,15 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         prints = b"".join([fingerprint(t.as_py()) for t in batch.column("text")])
         values = np.frombuffer(prints, ">u8").astype(np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values)], names=["doc_id", "fp"])
+        kept = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(values)], names=[*kept, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, .., fp): the fingerprint as a signed long, behind the columns ``carry``."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, common.text_bytes().alias("text"))
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    return rows.mapInArrow(_fingerprints, f"{kept}, fp long")
 
 
 def bands(radius: int) -> list[tuple[int, int]]:
@@ -110,13 +117,14 @@ class VantageTree:
         self._fit(own[d <= self.cut[node]], 2 * node + 1, rng)
         self._fit(own[d > self.cut[node]], 2 * node + 2, rng)
 
-    def route(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, shard, is home) of every visit.
+    def route(self, prints: np.ndarray, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, shard, is home) of every visit; ``home`` tells which of ``prints`` come as homes (all by default).
 
         A link between two sides of a split is found from the near side: homes on the near side visit the far side if
         the triangle inequality allows it, and visitors then follow every branch that it allows.
         """
-        row, node, home = np.arange(len(prints)), np.zeros(len(prints), np.int64), np.ones(len(prints), bool)
+        row, node = np.arange(len(prints)), np.zeros(len(prints), np.int64)
+        home = np.ones(len(prints), bool) if home is None else home
         own, r = prints & self.mask, self.radius
         for _ in range(self.depth):
             d, cut = np.bitwise_count(own[row] ^ self.point[node]).astype(np.int16), self.cut[node]
@@ -152,68 +160,101 @@ def _stars(target: np.ndarray, query: np.ndarray, radius: int) -> list[tuple[int
 
 
 def _in_shard(shard: pa.Table, radius: int) -> pa.Table:
-    prints = shard.column("fp").to_numpy().view(np.uint64)
-    rep, role = shard.column("rep").to_numpy(), shard.column("role").to_numpy()
-    target, query = np.flatnonzero(role != 0), np.flatnonzero(role == 0)
-    place = np.concatenate([target, query])
-    pairs = np.array(_stars(prints[target], prints[query], radius), np.int64).reshape(-1, 2)
-    return pa.table({"u": rep[place[pairs[:, 0]]], "v": rep[place[pairs[:, 1]]]})
+    stored, role = shard.column("fp").to_numpy(), shard.column("role").to_numpy()
+    place = np.concatenate([np.flatnonzero(role != 0), np.flatnonzero(role == 0)])
+    prints, n = stored.view(np.uint64)[place], int((role != 0).sum())
+    pairs = np.array(_stars(prints[:n], prints[n:], radius), np.int64).reshape(-1, 2)
+    return pa.table({"u": stored[place[pairs[:, 0]]], "v": stored[place[pairs[:, 1]]]})
+
+
+class Forest:
+    """The trees of all bands, and for many fingerprints the second trees below them."""
+
+    def __init__(self, sample: np.ndarray, n: int, radius: int):
+        levels = max(0, math.ceil(math.log2(max(n, 1) / SHARD_GOAL)))
+        self.depth, self.below = min(levels, MAX_DEPTH), min(max(0, levels - MAX_DEPTH), MAX_DEPTH)
+        known = bands(radius)
+        self.first = [VantageTree(sample, mask, r, self.depth) for mask, r in known]
+        # Off a band with r differing bits or fewer, the rest has the radius at most, and the lesser part half of that.
+        least = radius // (len(known) - 1) if len(known) > 1 else radius
+        self.second = [VantageTree(sample, mask, least, self.below) for mask, _ in known] if self.below and len(known) > 1 else []
+
+    def route(self, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, shard, is home) of every visit, tree by tree; shards of different trees have different numbers."""
+        for i, tree in enumerate(self.first):
+            row, shard, home = tree.route(prints)
+            shard = (i << self.depth) + shard
+            if not self.second:
+                yield row, shard, home
+            for j, other in enumerate(self.second):
+                if j != i:
+                    again, leaf, own = other.route(prints[row], home)
+                    yield row[again], (shard[again] * len(self.second) + j << self.below) + leaf, own
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (u, v) between ``rep`` ids of distinct fingerprints (fp, rep), enough to connect all that link."""
+    """Edges (u, v) between distinct fingerprints (fp), enough to connect all that link."""
     spark = prints.sparkSession
     n = prints.count()
     sample = [r.fp for r in prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
-    sample = np.array(sample, np.int64).view(np.uint64)
-    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(n, 1) / SHARD_GOAL))))
-    trees = [VantageTree(sample, mask, r, depth) for mask, r in bands(radius)]
+    forest = Forest(np.array(sample, np.int64).view(np.uint64), n, radius)
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                fp, rep = (batch.column(c).slice(at, 4096).to_numpy() for c in ("fp", "rep"))
-                for i, tree in enumerate(trees):
-                    row, shard, home = tree.route(fp.view(np.uint64))
-                    shard = (shard + (i << depth)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(home.astype(np.int8)), pa.array(fp[row]), pa.array(rep[row])], names=["shard", "role", "fp", "rep"])
+                fp = batch.column("fp").slice(at, 4096).to_numpy()
+                for row, shard, home in forest.route(fp.view(np.uint64)):
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), pa.array(home.astype(np.int8)), pa.array(fp[row])], names=["shard", "role", "fp"])
 
-    routed = common.materialize(prints.select("fp", "rep").mapInArrow(visits, "shard int, role tinyint, fp long, rep long"), "vp-visits")
+    routed = common.materialize(prints.select("fp").mapInArrow(visits, "shard long, role tinyint, fp long"), "vp-visits")
     sizes = routed.groupBy("shard").agg(F.count_if(F.col("role") == 1).alias("homes"), F.count("*").alias("rows"))
-    large = sizes.where(F.col("rows") > 2 * SHARD_CAP)
-    # One row per oversized shard, of which the trees have a bounded number.
-    blocks = [(r.shard, -(-r.homes // SHARD_CAP) or 1, -(-r.rows // SHARD_CAP)) for r in large.collect()]
+    large = common.materialize(sizes.where(F.col("rows") > 2 * SHARD_CAP).select("shard", F.greatest(F.ceil(F.col("homes") / SHARD_CAP), F.lit(1)).alias("a"), F.ceil(F.col("rows") / SHARD_CAP).alias("b")), "vp-large")
     dealt = routed.withColumns({"i": F.lit(0), "j": F.lit(0)})
-    if blocks:
-        grid = F.broadcast(spark.createDataFrame(blocks, "shard int, a long, b long"))
-        hot = routed.join(grid, "shard")
+    if not large.isEmpty():
+        # A shard is rarely large, but their number grows with the input: merged, not broadcast.
+        hot = routed.join(large.hint("merge"), "shard")
         own = F.pmod(F.xxhash64("fp"), F.col("a")), F.pmod(F.xxhash64("fp"), F.col("b"))
         as_target = hot.where("role = 1").withColumn("i", own[0]).withColumn("j", F.explode(F.expr("sequence(0L, b - 1)")))
         as_query = hot.withColumn("role", F.lit(0).cast("tinyint")).withColumn("j", own[1]).withColumn("i", F.explode(F.expr("sequence(0L, a - 1)")))
-        columns = ["shard", "role", "fp", "rep", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")]
-        dealt = dealt.join(grid, "shard", "left_anti").select(*columns).union(as_target.select(*columns)).union(as_query.select(*columns))
+        columns = ["shard", "role", "fp", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")]
+        dealt = dealt.join(large.hint("merge"), "shard", "left_anti").select(*columns).union(as_target.select(*columns)).union(as_query.select(*columns))
     return dealt.groupBy("shard", "i", "j").applyInArrow(lambda t: _in_shard(t, radius), "u long, v long")
 
 
 def components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, component_id) for every distinct fingerprint of (doc_id, fp)."""
-    distinct = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fp-reps")
-    found = common.connected_components(links(distinct.where("rep is not null"), radius))
-    named = distinct.join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    return named.select("fp", F.coalesce("component", "rep").alias("component_id"))
+    distinct = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-least")
+    found = common.connected_components(links(distinct, radius))
+    joined = distinct.join(found.withColumnRenamed("id", "fp").hint("merge"), "fp", "left")
+    joined = common.materialize(joined.select("fp", "least", F.coalesce("component", "fp").alias("component")), "fp-joined")
+    names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    return joined.join(names.hint("merge"), "component").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint, component_id."""
     prints = common.materialize(fingerprints(docs), "fingerprints")
     named = common.materialize(components(prints, radius), "fp-components")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(named.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _row_key() -> list[Column]:
+    """Columns that tell rows of different doc_id or text apart, without nulls."""
+    doc_id = F.col("doc_id").cast("long")
+    return [doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), F.xxhash64(F.coalesce("text", F.lit("")))]
 
 
 def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest doc_id; all columns are carried."""
-    chosen = near_duplicates(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_sh_id")).distinct()
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_sh_id")), "left_semi")
+    """``docs`` with one row of each component; all columns are carried."""
+    key = [common.free_name(f"_key{k}", docs.columns) for k in range(3)]
+    rows = docs.select("doc_id", "text", *(c.alias(k) for c, k in zip(_row_key(), key, strict=True)))
+    prints = common.materialize(fingerprints(rows, key), "fingerprints")
+    distinct = common.materialize(prints.groupBy("fp").agg(F.min(F.struct(*key)).alias("least")), "fp-least")
+    found = common.connected_components(links(distinct, radius))
+    joined = distinct.join(found.withColumnRenamed("id", "fp").hint("merge"), "fp", "left")
+    chosen = joined.groupBy(F.coalesce("component", "fp")).agg(F.min("least").alias("least")).select("least.*")
+    keyed = docs.withColumns(dict(zip(key, _row_key(), strict=True)))
+    kept = keyed.join(chosen.hint("merge"), key, "left_semi").dropDuplicates(key)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -33,8 +33,19 @@ def test_exact_dedup_over_batches(spark, docs):
     assert index.entries().count() == 2
     index.append(second)
     assert {r.doc_id: (r.keep_id, r.kept) for r in index.decide(second).collect()} == {1: (5, False), 2: (2, True)}
-    again = exact_dedup.DigestIndex(spark, index.path)
-    assert again.entries().count() == 3
+    index.close()
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        again = exact_dedup.DigestIndex(spark, index.root)
+        assert again.buckets == index.buckets and again.entries().count() == 3
+        third = docs([(7, "ab"), (8, "e"), (9, " d")])
+        again.append(third)
+        assert again.entries().count() == 4
+        assert {r.doc_id: (r.keep_id, r.kept) for r in again.decide(third).collect()} == {7: (5, False), 8: (8, True), 9: (2, False)}
+        again.close()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
 
 
 def test_drop_copies_keeps_columns(docs):

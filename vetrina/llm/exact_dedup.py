@@ -24,18 +24,28 @@ def text_digest(column: str = "text") -> Column:
 class DigestIndex:
     """Digests seen so far, one row each: digest, keep_id, group_size (rows of the batch that first brought it).
 
-    The table lives at ``path`` and is registered under ``name``; opening an existing path continues it.
+    The table lives at ``path`` and is registered under ``name``; opening an existing path continues it, with the number
+    of buckets it was made with, which is part of its path and so of no session.
     """
 
     def __init__(self, spark: SparkSession, path: str, name: str | None = None, buckets: int | None = None):
-        self.spark, self.path = spark, path
+        self.spark, self.root = spark, path
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        known = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+        made = [int(n.removeprefix("buckets-")) for n in known if n.startswith("buckets-")]
+        self.buckets = made[0] if made else buckets or common.shuffle_partitions(spark)
+        self.path = f"{path}/buckets-{self.buckets}"
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        self.buckets = buckets or common.shuffle_partitions(spark)
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} (digest STRING, keep_id BIGINT, group_size BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
+    def close(self) -> None:
+        """Take the name out of the catalogue; the files stay and can be opened again."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def entries(self) -> DataFrame:
         """The index as plain files: a join may then deal both sides itself and split a hot digest."""
         return self.spark.read.schema("digest STRING, keep_id BIGINT, group_size BIGINT").parquet(self.path)
@@ -44,7 +54,7 @@ class DigestIndex:
         """Add the digests of ``docs`` that the index lacks. Copies are reduced before the shuffle; repeating a batch adds nothing."""
         keyed = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"), text_digest().alias("digest"))
         best = keyed.groupBy("digest").agg(F.min(F.struct(-F.col("n"), "doc_id")).alias("best"), F.count("*").alias("group_size"))
-        fresh = best.join(self.spark.table(self.name), "digest", "left_anti")
+        fresh = best.join(self.spark.table(self.name).hint("merge"), "digest", "left_anti")
         fresh = fresh.select("digest", F.col("best.doc_id").cast("long").alias("keep_id"), "group_size")
         fresh.repartition(self.buckets, "digest").write.insertInto(self.name)
 
@@ -52,7 +62,7 @@ class DigestIndex:
         """``docs`` with their index entry, and the names of its columns."""
         key, keep, size = (common.free_name(c, docs.columns) for c in ("_digest", "_keep_id", "_group_size"))
         entries = self.entries().select(F.col("digest").alias(key), F.col("keep_id").alias(keep), F.col("group_size").alias(size))
-        return docs.withColumn(key, text_digest()).join(entries, key), key, keep, size
+        return docs.withColumn(key, text_digest()).join(entries.hint("merge"), key), key, keep, size
 
     def decide(self, docs: DataFrame) -> DataFrame:
         """One row per row of a batch already appended: doc_id, keep_id, group_size, kept, text_sha256."""
@@ -76,6 +86,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """Decisions for ``docs`` against a new index."""
     index = DigestIndex(docs.sparkSession, common.new_path(docs.sparkSession, "digests"))
     index.append(docs)
+    index.close()
     return index.decide(docs)
 
 
@@ -83,6 +94,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without exact copies, by a new index."""
     index = DigestIndex(docs.sparkSession, common.new_path(docs.sparkSession, "digests"))
     index.append(docs)
+    index.close()
     return index.keep_first(docs)
 
 

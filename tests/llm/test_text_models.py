@@ -1,5 +1,6 @@
 import itertools
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -242,6 +243,67 @@ def test_quality_model_edge_cases(spark, docs):
     assert quality_model.quality(docs([]), none).count() == 0
 
 
+def _plain_score(text, p):
+    """The score of one text, passage by passage and sum by sum."""
+    signs = [b for b in range(33, 127) if not chr(b).isalnum()]
+
+    def kind(b):
+        if b > 127:
+            return 1
+        if chr(b).isupper():
+            return 2
+        if chr(b).isdigit():
+            return 3
+        if b == 10:
+            return 5
+        if b < 33:
+            return 4
+        return 6 + signs.index(b) if b in signs else 0
+
+    hidden, drawn = [], []
+    for at in range(0, max(1, len(text)), 400):
+        part = text[at : at + 400]
+        bins = np.zeros(256)
+        for a, b, c in zip(part, part[1:], part[2:], strict=False):
+            gram = (kind(a) * 64 + kind(b)) * 64 + kind(c)
+            bins[(gram * 2654435761 % 2**32) >> 24] += 1
+        words = part.split()
+        n = max(1, len(words))
+        again = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
+        x = np.r_[np.sqrt(bins / max(1, bins.sum())), again, 1 - len(set(words)) / n]
+        h = np.tanh(x @ p["W"] + p["b"])
+        hidden.append(h)
+        drawn.append(np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"]))) @ p["w"])
+    weight = np.exp(drawn) / np.exp(drawn).sum()
+    return 1 / (1 + np.exp(-(sum(a * h for a, h in zip(weight, hidden, strict=True)) @ p["c"] + p["d"][0])))
+
+
+def test_quality_scores_are_brute_force(spark, docs, corpus, monkeypatch):
+    """Every row's score, against a plain forward pass over its whole text; portions of a few texts."""
+    monkeypatch.setattr(quality_model, "PORTION", 3000)
+    assert [(a, len(p)) for a, p in quality_model.portions([b"x" * 2000, b"", b"y" * 1500, b"z" * 9000, b"w"])] == [(0, 2), (2, 1), (3, 1), (4, 1)]
+    rng = np.random.default_rng(5)
+    model = quality_model.AttentionModel(rng)
+    for v in model.p.values():
+        v += rng.normal(0, 0.5, v.shape)
+    rows = docs(corpus)
+    got = sorted((r.doc_id, r._score) for r in quality_model.scored(rows, model, ["doc_id"]).collect())
+    want = sorted((i, float(_plain_score((t or "").encode(), model.p))) for i, t in corpus)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert np.allclose([s for _, s in got], [s for _, s in want], atol=1e-5)
+
+
+def test_quality_training_reads_whole_texts_of_a_bounded_sample(spark, docs, monkeypatch):
+    monkeypatch.setattr(quality_model, "TRAIN_PASSAGES", 30)
+    seen = {}
+    monkeypatch.setattr(quality_model, "fit", lambda x, counts, y: seen.update(counts=sorted(counts.tolist()), rows=len(x)) or quality_model.AttentionModel(np.random.default_rng(0)))
+    free = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(free[0], "a" * 4000), (free[1], "b" * 400 * 31), (free[2], "c" * 4000), (free[3], "d" * 4000), *[(free[4], "e" * 800)] * 3, (free[4], "f")]
+    labels = spark.createDataFrame([(free[k], 1 if k < 4 else 0, 0) for k in range(5)], "doc_id long, quality int, toxic int")
+    quality_model.train(docs(rows), labels)
+    assert seen == {"counts": [2, 10, 10, 10], "rows": 32}
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     model = quality_model.AttentionModel(rng)

@@ -5,12 +5,16 @@ by case, digits, white space, bytes beyond ASCII, and every ASCII sign by itself
 by two shares of repeated words. One layer maps a passage to ``HIDDEN`` numbers; gated attention, a softmax of w (tanh(V h) * sigmoid(U h)), weights the
 passages of a document; the weighted mean is scored by a logistic unit. Only document labels are used.
 
-The model is fitted on the driver, on a bounded sample: ``TRAIN_ROWS`` labelled documents of each label at most, the
-first by a hash of doc_id, and ``TRAIN_PASSAGES`` evenly spaced passages of each. Scores read every passage.
+Lower-case letters are one class, so the encoder sees layout, signs and repetition, not words: it is small, and cannot
+learn a text's topic or language by its vocabulary.
+
+The model is fitted on the driver, on a bounded sample of labelled rows: ``TRAIN_ROWS`` documents of each label at most,
+the first by a hash of doc_id, as many as have ``TRAIN_PASSAGES`` passages of each label together; a single document
+beyond that is not learnt from. All passages of a document in the sample are read, as they are in scoring.
 
 Defined cases: null and empty texts are one empty passage and have a score; a null doc_id is never learnt from and
-counts as held out of nothing (held_out false); a document with several labels has the smallest; repeated rows are
-scored row by row; without two labels in the training rows every score is the share of label 1 (0.5 if there are
+counts as held out of nothing (held_out false); a document with several labels has the smallest; of rows that repeat a
+doc_id the least text is learnt from, and all are scored row by row; without two labels in the training rows every score is the share of label 1 (0.5 if there are
 none); an empty table gives an empty result; labels, lang, source and doc_id are not inputs of a score.
 """
 
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vetrina.llm import common
@@ -29,7 +33,9 @@ from vetrina.llm import common
 PASSAGE, BINS, HIDDEN, GATE = 400, 256, 24, 12
 #: Inputs of a passage: the trigram bins, the share of words that repeat the one before, and that of words seen before.
 INPUTS = BINS + 2
-TRAIN_ROWS, TRAIN_PASSAGES = 2_000, 24
+TRAIN_ROWS, TRAIN_PASSAGES = 2_000, 40_000
+#: Bytes of text that are encoded at a time.
+PORTION = 256 << 10
 STEPS, BATCH, RATE = 500, 128, 0.01
 
 
@@ -49,18 +55,10 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
-def passages(texts: list[bytes], limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(features by passage, passages by text); ``limit`` evenly spaced passages of a text if it is given."""
+def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(features by passage, passages by text)."""
     counts = np.array([max(1, -(-len(t) // PASSAGE)) for t in texts], np.int64)
-    if limit:
-        picked = []
-        for t, n in zip(texts, counts.tolist(), strict=True):
-            at = np.unique(np.linspace(0, n - 1, min(n, limit)).astype(int))
-            picked.append([t[k * PASSAGE : (k + 1) * PASSAGE] for k in at])
-        counts = np.array([len(p) for p in picked], np.int64)
-        parts = [x for p in picked for x in p]
-    else:
-        parts = [t[k * PASSAGE : (k + 1) * PASSAGE] for t, n in zip(texts, counts.tolist(), strict=True) for k in range(n)]
+    parts = [t[k * PASSAGE : (k + 1) * PASSAGE] for t, n in zip(texts, counts.tolist(), strict=True) for k in range(n)]
     out = np.zeros((len(parts), INPUTS), np.float32)
     for a in range(0, len(parts), 2048):
         some = parts[a : a + 2048]
@@ -78,6 +76,19 @@ def passages(texts: list[bytes], limit: int | None = None) -> tuple[np.ndarray,
     return out, counts
 
 
+def portions(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """(first position, texts) of some texts at a time: ``PORTION`` bytes, or one longer text."""
+    part, size, first = [], 0, 0
+    for at, text in enumerate(texts):
+        if part and size + len(text) > PORTION:
+            yield first, part
+            part, size, first = [], 0, at
+        part.append(text)
+        size += len(text)
+    if part:
+        yield first, part
+
+
 def _repetition(words: list[bytes]) -> tuple[float, float]:
     n = max(1, len(words))
     return sum(map(operator.eq, words, words[1:])) / n, 1 - len(set(words)) / n
@@ -153,20 +164,27 @@ def train(docs: DataFrame, labels: DataFrame) -> AttentionModel:
     """Fit on a bounded sample of the labelled documents that are not held out."""
     known = labels.where("doc_id is not null and quality is not null").where(~is_held_out())
     known = known.groupBy("doc_id").agg(F.min("quality").alias("y"))
-    picks = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS) for y in (0, 1)]
+    first = [F.xxhash64("doc_id"), F.col("doc_id")]
+    picks = [known.where(F.col("y") == y).orderBy(*first).limit(TRAIN_ROWS) for y in (0, 1)]
     sample = common.materialize(picks[0].union(picks[1]).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y")), "quality-sample")
+    # The sample has 2 * TRAIN_ROWS rows at most, and as many texts are carried on.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = common.materialize(texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "y", common.text_bytes().alias("text")), "quality-texts")
+    size = F.greatest(F.ceil(F.octet_length("text") / PASSAGE), F.lit(1))
+    # Documents beyond the bound are passed over, the others are taken in their order while they fit.
+    fit_in = texts.select("doc_id", "y", size.alias("n")).where(F.col("n") <= TRAIN_PASSAGES)
+    so_far = F.sum("n").over(Window.partitionBy("y").orderBy(*first))
+    taken = fit_in.withColumn("_sum", so_far).where(F.col("_sum") <= TRAIN_PASSAGES).select("doc_id")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                x, counts = passages(part.column("text").to_pylist(), TRAIN_PASSAGES)
+                x, counts = passages(part.column("text").to_pylist())
                 cut = np.split(x.astype(np.float16), np.cumsum(counts)[:-1])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([c.tobytes() for c in cut], pa.binary())], names=["doc_id", "y", "x"])
 
-    # The sample has 2 * TRAIN_ROWS rows at most.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("text")).join(F.broadcast(sample), "doc_id")
-    got = rows.select("doc_id", "y", "text").mapInArrow(encode, "doc_id long, y int, x binary").collect()
+    got = texts.join(F.broadcast(taken), "doc_id", "left_semi").mapInArrow(encode, "doc_id long, y int, x binary").collect()
     got = sorted({(r.doc_id, r.y, bytes(r.x)) for r in got})
     x = [np.frombuffer(r[2], np.float16).reshape(-1, INPUTS).astype(np.float32) for r in got]
     return fit(np.concatenate([*x, np.zeros((0, INPUTS), np.float32)]), np.array([len(p) for p in x], np.int64), np.array([r[1] for r in got], float))
@@ -179,9 +197,8 @@ def scored(docs: DataFrame, model: AttentionModel, columns: list[str]) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = np.zeros(batch.num_rows)
-            texts = batch.column(text)
-            for at in range(0, batch.num_rows, 128):
-                x, counts = passages(texts.slice(at, 128).to_pylist())
+            for at, part in portions(batch.column(text).to_pylist()):
+                x, counts = passages(part)
                 score[at : at + len(counts)] = model.forward(x, counts)[0]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(score)], names=[*columns, score_name])
 

@@ -223,6 +223,34 @@ def test_quality_rules_tell_junk_from_prose(spark):
     assert sum(r.kept for r in good) >= 0.99 * len(good) and sum(r.kept for r in junk) <= 0.2 * len(junk)
 
 
+def test_quality_rules_verdict_is_brute_force(spark, docs, corpus, monkeypatch):
+    """Ratio and verdict of every document from plain counts, with a map of ids so small that it lets others through."""
+    monkeypatch.setattr(quality_rules, "BITS", 1 << 6)
+    ids = sorted({i for i, _ in corpus})
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in ids[:90]] + [(ids[1], 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    trusted = {i for i in ids[:90] if i % 3 == 0} | {ids[1]}
+    rows = docs([*corpus, (None, "no id at all " * 3)])
+    found = quality_rules._trusted(rows, labels)
+    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.doc_id for r in found.collect()) == sorted(i for i, _ in corpus if i in trusted)
+    bucket = lambda g: (int.from_bytes(g, "little") * 2654435761 % 2**32) >> 16
+    grams = lambda t: [bucket(t[a : a + 4]) for a in range(len(t) - 3)]
+    texts = [(i, (t or "").encode()) for i, t in [*corpus, (None, "no id at all " * 3)]]
+    raw = Counter(g for _, t in texts for g in grams(t))
+    target = Counter(g for i, t in texts if i in trusted for g in grams(t))
+    n_raw, n_target = sum(raw.values()) + 65536, sum(target.values()) + 65536
+    ratio = lambda g: np.log((target[g] + 1) / n_target) - np.log((raw[g] + 1) / n_raw)
+    least = sum(n * ratio(g) for g, n in target.items()) / sum(target.values()) - quality_rules.MARGIN
+    got = {}
+    for r in quality_rules.judge(rows, labels).collect():
+        got[r.doc_id] = r
+    for i, t in texts:
+        own = grams(t)
+        want = sum(map(ratio, own)) / max(1, len(own))
+        assert got[i].ratio == pytest.approx(want, abs=1e-5)
+        assert got[i].kept == (not got[i].base_failed and want >= least)
+
+
 def test_quality_model_on_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     found = quality_model.quality(docs, labels).join(labels, "doc_id").where("held_out").collect()

@@ -5,7 +5,9 @@ labelled quality 1) and the raw corpus (all documents). A document's ratio is th
 log p(target) - log p(raw). The threshold lies ``MARGIN`` below the mean ratio of the target's own grams. Documents that
 the base rules fail are not judged further.
 
-Counts cover every document; what reaches the driver is one number per bucket and multinomial.
+Counts cover every document; what reaches the driver is one number per bucket and multinomial. The trusted documents are
+found by a merge join, before which a bitmap of hashed trusted ids, of ``BITS`` bits at any size, drops most of the
+others: it never drops a trusted one.
 
 Defined cases: a null or empty text has no words and fails the base rules; a text without grams has ratio 0; with no
 target rows both multinomials are the raw one, so every ratio is 0; a document with several labels is trusted if any of
@@ -29,6 +31,8 @@ SMOOTHING = 1.0
 #: How far below the target's own mean a document's ratio may be.
 MARGIN = 0.25
 MIN_WORDS, REPEAT_WORDS, MAX_REPEAT_PERCENT = 10, 5, 20
+#: Bits of the map of trusted ids: 8 MB, whatever the number of labels.
+BITS = 1 << 26
 #: Bytes that are taken together, few enough that their arrays stay in cache.
 CHUNK = 256 << 10
 _SYMBOLS = b"#*$%&|<>"
@@ -133,10 +137,24 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated_words(words, {})
 
 
+def _maybe_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose doc_id is not in ``ids``; all others stay."""
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITS))
+    part = F.bitmap_bucket_number(place).alias("_part")
+    maps = ids.select(part, F.bitmap_bit_position(place).alias("_bit")).groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_map", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    # A map has 4 KB, and there are BITS / 32,768 of them at most.
+    found = rows.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("_part"))
+    return found.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def _trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("text"))
     # Alike at every size: the labels grow with the corpus, so they are merged, never broadcast.
-    return docs.select("doc_id", common.text_bytes().alias("text")).join(trusted.hint("merge"), "doc_id", "left_semi")
+    # An inner join with distinct ids: a semi join would be pushed below the map.
+    return _maybe_in(rows, trusted).join(trusted.hint("merge"), "doc_id")
 
 
 def threshold(target: np.ndarray, ratio: np.ndarray) -> float:

@@ -105,7 +105,12 @@ def test_license_bounds_lose_nothing():
 def test_chat_layouts(spark):
     records = [
         ('{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b"}],"id":1}', [("user", "a"), ("assistant", "b")]),
-        ('{"conversations":[{"from":"human","value":"a"}]}', [("human", "a")]),
+        ('{"conversations":[{"from":"human","value":"a"},{"from":"GPT","value":"b"},{"from":"tool","value":"c"}]}', [("user", "a"), ("assistant", "b"), ("tool", "c")]),
+        ('{"conv_id":5,"text":"t","messages":[{"role":"system","content":"a"}]}', [("system", "a")]),
+        ('{"messages":[{"role":"user"},{"role":"bot","content":"b"},{"content":"c","name":"x"}]}', [("user", None), ("assistant", "b"), (None, "c")]),
+        ('{"messages":[{"role":"user","content":"a"}],"prompt":"p","response":"r"}', [("user", "a")]),
+        ('{"messages":[],"id":3}', []),
+        ('{"conversations":[{"from":"gpt","value":{"deep":[1]}}],"turn":2}', [("assistant", '{"deep":[1]}')]),
         ('{"instruction":"do","input":"it","output":"ok"}', [("user", "do\n\nit"), ("assistant", "ok")]),
         ('{"instruction":"do","input":"","output":"ok"}', [("user", "do"), ("assistant", "ok")]),
         ('{"prompt":"p","completion":"c","meta":{"x":1}}', [("user", "p"), ("assistant", "c")]),
@@ -118,7 +123,22 @@ def test_chat_layouts(spark):
     got = [r.t for r in rows.select("i", chat.json_turns(F.col("r")).alias("t")).orderBy("i").collect()]
     assert [None if t is None else [(x.role, x.text) for x in t] for t in got] == [w for _, w in records]
     with pytest.raises(ValueError):
-        chat.layout_of(spark.createDataFrame([], "a int").schema)
+        chat.layouts_of(spark.createDataFrame([], "a int").schema)
+
+
+def test_chat_table_of_mixed_layouts(spark):
+    """One typed table, a layout per row; answers of every layout are under the loss mask, and no record vanishes."""
+    rows = [
+        (1, [("human", "a"), ("gpt", "b")], None, None, "x"),
+        (2, None, "p", "r", None),
+        (3, [("user", "c")], "p", "r", None),
+        (4, [], None, None, None),
+        (5, None, None, None, None),
+    ]
+    table = spark.createDataFrame(rows, "conv_id long, conversations array<struct<from: string, value: string>>, prompt string, response string, text string")
+    out = chat.format_rows(table).select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("f"), F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: s["text"]), "|").alias("loss"))
+    got = {r.conv_id: ([(t.role, t.text) for t in r.t], r.loss) for r in out.select("conv_id", chat.read_turns(F.col("f")).alias("t"), "loss").collect()}
+    assert got == {1: ([("user", "a"), ("assistant", "b")], "b"), 2: ([("user", "p"), ("assistant", "r")], "r"), 3: ([("user", "c")], ""), 4: ([], ""), 5: ([], "")}
 
 
 @pytest.mark.parametrize("text", ["</s>[INST] ok [/INST]", "<s>", r"<\s> <\\/s> [\INST]", "[[INST]]", "[", "<", "plain", "", "[ROLE]x[/ROLE]", "\\", "<s<s>>", "[/INST"])

@@ -1,20 +1,25 @@
 """Chat formatting by schema fingerprint, JVM-side throughout.
 
-The nested field paths of a record, restricted to the names that any known layout uses, are sorted and hashed; the hash
-selects a declarative mapping to canonical turns (role, text). For typed tables the paths come from the schema, for
-JSON strings from each row. Turns are written with a template whose control strings are escaped inside roles and texts,
-reversibly: one backslash more behind the bracket. The output is a list of segments, each under the loss mask or not;
-only assistant texts are. Segments joined are the formatted conversation.
+A record's nested field paths are compared layout by layout: those that a layout uses are sorted and hashed, and the first
+layout whose own hash comes out maps the record to canonical turns (role, text). Fields of no layout, and those of later
+layouts, so never stand in the way. For typed tables the paths come from the schema (a field that is null in a row is not
+there), for JSON strings from each row and from all elements of its lists. Role names of other layouts are mapped to user,
+assistant and system; turn rows keep theirs. Turns are written with a template whose control strings are escaped inside
+roles and texts, reversibly: one backslash more behind the bracket. The output is a list of segments, each under the loss
+mask or not; only assistant texts are. Segments joined are the formatted conversation.
 
 Defined cases: null roles and texts are empty; turns that tie are ordered by role, then text; repeated rows are turns of
-their own; a null conv_id is one conversation; an unknown layout gives no turns (JSON) or an error (typed table); a
-conversation without turns gives no segments; an empty table gives an empty result; unknown columns are ignored.
+their own; a null conv_id is one conversation; an unknown layout gives no turns (JSON: null) or an error (typed table
+that fits none); an empty list of messages is a conversation without turns, which has no segments; a message without
+role or text has an empty one; an empty table gives an empty result; unknown columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import operator
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +27,8 @@ from pyspark.sql import types as T
 
 from vetrina.llm import common
 
-#: Turns that are ordered together before a conversation is put together.
-CHUNK_TURNS = 256
+#: Role names of other layouts, and what they mean.
+ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "chatbot": "assistant", "model": "assistant"}
 _CONTROL = r"s>|INST\]|ROLE\]"
 _TURNS = "array<struct<role: string, text: string>>"
 _SEGMENTS = "array<struct<text: string, loss: boolean>>"
@@ -51,11 +56,17 @@ def _instruction(field: Callable[[str], Column]) -> Column:
     return F.array(_turn(F.lit("user"), asked), _turn(F.lit("assistant"), field("output")))
 
 
+def _role(name: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+    plain = F.lower(F.trim(name))
+    return F.coalesce(F.try_element_at(known, plain), F.when(plain.isin("user", "assistant", "system"), plain), name)
+
+
 def _list(name: str, role: str, text: str) -> Callable[[Callable[[str], Column]], Column]:
-    return lambda field: F.transform(field(name), lambda m: _turn(m[role], m[text]))
+    return lambda field: F.transform(field(name), lambda m: _turn(_role(m[role]), m[text]))
 
 
-#: Layouts: nested field paths, the schema that reads them from JSON, and the mapping to turns.
+#: Layouts in their order of preference: nested field paths, the schema that reads them from JSON, the mapping to turns.
 LAYOUTS: dict[str, tuple[list[str], str, Callable[[Callable[[str], Column]], Column]]] = {
     "messages": (["messages[].content", "messages[].role"], "messages array<struct<role: string, content: string>>", _list("messages", "role", "content")),
     "conversations": (["conversations[].from", "conversations[].value"], "conversations array<struct<from: string, value: string>>", _list("conversations", "from", "value")),
@@ -66,17 +77,15 @@ LAYOUTS: dict[str, tuple[list[str], str, Callable[[Callable[[str], Column]], Col
     "question_answer": (["answer", "question"], "question string, answer string", _pair("question", "answer")),
     "turn_rows": (["conv_id", "role", "text", "turn"], "conv_id long, turn long, role string, text string", lambda field: F.array(_turn(field("role"), field("text")))),
 }
-_KNOWN = {p for paths, _, _ in LAYOUTS.values() for p in paths}
-_CONTAINERS = sorted({p.split("[]")[0] for p in _KNOWN if "[]" in p})
-_TOP = sorted(p for p in _KNOWN if "[]" not in p)
+_CONTAINERS = [p[0].split("[]")[0] for p, _, _ in LAYOUTS.values() if "[]" in p[0]]
 
 
-def fingerprint(paths: list[str]) -> str:
-    """Hash of the known ones of some nested field paths."""
-    return hashlib.sha256("\n".join(sorted(set(paths) & _KNOWN)).encode()).hexdigest()
+def fingerprint(paths: list[str], layout: str) -> str:
+    """Hash of those of some nested field paths that a layout uses."""
+    return hashlib.sha256("\n".join(sorted(set(paths) & set(LAYOUTS[layout][0]))).encode()).hexdigest()
 
 
-_BY_PRINT = {fingerprint(paths): name for name, (paths, _, _) in LAYOUTS.items()}
+_PRINTS = {name: fingerprint(paths, name) for name, (paths, _, _) in LAYOUTS.items()}
 
 
 def field_paths(schema: T.StructType) -> list[str]:
@@ -92,42 +101,60 @@ def field_paths(schema: T.StructType) -> list[str]:
     return out
 
 
-def layout_of(schema: T.StructType) -> str:
-    found = _BY_PRINT.get(fingerprint(field_paths(schema)))
-    if found is None:
-        raise ValueError(f"no chat layout has the fields {field_paths(schema)}")
+def layouts_of(schema: T.StructType) -> list[str]:
+    """The layouts that a typed table has, in their order."""
+    paths = field_paths(schema)
+    found = [name for name, own in _PRINTS.items() if fingerprint(paths, name) == own]
+    if not found:
+        raise ValueError(f"no chat layout has the fields {paths}")
     return found
 
 
-def typed_turns(layout: str) -> Column:
-    """Turns of a row of a typed table."""
-    return LAYOUTS[layout][2](F.col)
+def typed_turns(layouts: list[str]) -> Column:
+    """Turns of a row of a typed table, by the first of ``layouts`` of which the row has a field that is not null."""
+    out = F.expr("array()").cast(_TURNS)
+    for name in reversed(layouts):
+        fields = {p.split("[]")[0] for p in LAYOUTS[name][0]}
+        some = reduce(operator.or_, (F.col(f).isNotNull() for f in sorted(fields)))
+        needed = F.col(_CONTAINERS[_CONTAINERS.index(name)]).isNotNull() if name in _CONTAINERS else some
+        out = F.when(needed, LAYOUTS[name][2](F.col)).otherwise(out)
+    return out
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _prefixed(names: Column, prefix: str) -> Column:
     return F.transform(names, lambda k: F.concat(F.lit(prefix), k))
 
 
-def json_fingerprint(record: Column) -> Column:
-    """The fingerprint of a JSON string: its own nested field paths, hashed."""
-    keys = F.coalesce(F.json_object_keys(record), F.expr("array()").cast("array<string>"))
-    parts = [F.array_intersect(keys, F.array(*map(F.lit, _TOP)))]
+def json_paths(record: Column) -> Column:
+    """The nested field paths of a JSON string: its keys, and those of any element of the lists that layouts know."""
+    none = F.expr("array()").cast("array<string>")
+    parts = [F.coalesce(F.json_object_keys(record), none)]
     for name in _CONTAINERS:
-        inner = F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), F.expr("array()").cast("array<string>"))
-        own = [p for p in _KNOWN if p.startswith(f"{name}[]")]
-        parts.append(F.array_intersect(_prefixed(inner, f"{name}[]."), F.array(*map(F.lit, sorted(own)))))
-    return F.sha2(F.concat_ws("\n", F.array_sort(F.array_distinct(F.concat(*parts)))), 256)
+        elements = F.from_json(F.get_json_object(record, f"$.{name}"), "array<map<string,string>>")
+        keys = F.flatten(F.transform(F.filter(elements, lambda m: m.isNotNull()), F.map_keys))
+        parts.append(F.coalesce(_prefixed(keys, f"{name}[]."), none))
+    return F.array_distinct(F.concat(*parts))
 
 
 def json_turns(record: Column) -> Column:
     """Turns of a JSON string in any known layout; null if the layout is unknown."""
-    found = json_fingerprint(record)
-    out = F.lit(None).cast(_TURNS)
-    for print_, name in _BY_PRINT.items():
-        _, schema, mapping = LAYOUTS[name]
-        parsed = F.from_json(record, schema)
-        out = F.when(found == print_, mapping(lambda f, parsed=parsed: parsed[f])).otherwise(out)
-    return out
+
+    def by_paths(paths: Column) -> Column:
+        out = F.lit(None).cast(_TURNS)
+        for name in reversed(_CONTAINERS):
+            out = F.when(F.json_array_length(F.get_json_object(record, f"$.{name}")) == 0, F.expr("array()").cast(_TURNS)).otherwise(out)
+        for name, (own, schema, mapping) in reversed(LAYOUTS.items()):
+            parsed = F.from_json(record, schema)
+            found = F.sha2(F.concat_ws("\n", F.array_sort(F.array_intersect(paths, F.array(*map(F.lit, own))))), 256)
+            out = F.when(found == _PRINTS[name], mapping(lambda f, parsed=parsed: parsed[f])).otherwise(out)
+        return out
+
+    return _let(json_paths(record), by_paths)
 
 
 def turn_segments(turn: Column) -> Column:
@@ -147,19 +174,16 @@ def format_turns(turns: Column) -> Column:
 def format_rows(rows: DataFrame) -> DataFrame:
     """(conv_id, segments) from a typed table: of turn rows, or of a conversation per row in any known layout.
 
-    Turn rows are formatted one by one; what is gathered per conversation is the conversation itself, put together in
-    chunks of turns first.
+    A table may hold several layouts; each row has its own. Turn rows are gathered by conversation as they are, and
+    formatted behind the shuffle.
     """
-    layout = layout_of(rows.schema)
-    turns = typed_turns(layout)
-    if layout != "turn_rows":
-        key = F.col("conv_id") if "conv_id" in rows.columns else F.lit(None).cast("long")
-        return rows.select(key.alias("conv_id"), format_turns(turns).alias("segments"))
-    one = rows.select("conv_id", "turn", F.floor(F.col("turn") / CHUNK_TURNS).alias("_chunk"), F.coalesce("role", F.lit("")).alias("_role"), F.coalesce("text", F.lit("")).alias("_text"), format_turns(turns).alias("_own"))
-    chunk = one.groupBy("conv_id", "_chunk").agg(F.array_sort(F.collect_list(F.struct("turn", "_role", "_text", "_own"))).alias("_turns"))
-    chunk = chunk.select("conv_id", "_chunk", F.flatten(F.transform("_turns", lambda t: t["_own"])).alias("_own"))
-    whole = chunk.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("_chunk", "_own"))).alias("_chunks"))
-    return whole.select("conv_id", F.flatten(F.transform("_chunks", lambda c: c["_own"])).alias("segments"))
+    layouts = layouts_of(rows.schema)
+    if layouts != ["turn_rows"]:
+        key = F.col("conv_id").cast("long") if "conv_id" in rows.columns else F.lit(None).cast("long")
+        return rows.select(key.alias("conv_id"), format_turns(typed_turns(layouts)).alias("segments"))
+    one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = rows.select("conv_id", one.alias("_turn")).groupBy("conv_id").agg(F.array_sort(F.collect_list("_turn")).alias("_turns"))
+    return whole.select("conv_id", F.flatten(F.transform("_turns", turn_segments)).alias("segments"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -180,7 +204,7 @@ def read_turns(formatted: Column) -> Column:
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     out = format_rows(rows.unionByName(extra))
     out = out.select("conv_id", "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"))
     out = out.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "").alias("loss"))

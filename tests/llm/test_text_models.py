@@ -18,7 +18,8 @@ def test_license_scan_is_brute_force(docs):
     got = {r.doc_id: (r.n_matches, r.license, r.dice) for r in licenses.licenses(docs(rows), templates).collect()}
 
     def words(s):
-        return re.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in s))
+        signs = {chr(c) for a, b in licenses.SIGN_RANGES for c in range(a, b + 1)}
+        return re.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(" " if c in signs else c.lower() if c.isascii() else c for c in s))
 
     def grams(s):
         w = words(s)
@@ -89,6 +90,14 @@ def test_license_notices_wrapped_and_embedded(docs):
     assert {n for n, _ in got[93]} == {"Apache-2.0", "MIT"} and 94 not in got
 
 
+def test_license_signs_beyond_ascii_separate_words(docs):
+    """No-break spaces and typographic quotes cost nothing; a needed word within a longer one is none."""
+    gpl = licenses.TEMPLATES["GPL-3.0-header"].replace(" ", "\u00a0")
+    header = licenses.TEMPLATES["Apache-2.0-header"].replace('("License")', "(\u201cLicense\u201d)")
+    rows = [(1, gpl), (2, header), (3, "unreleasedunder the MITlicense " * 3)]
+    assert {r.doc_id: (r.license, r.dice) for r in licenses.licenses(docs(rows)).collect()} == {1: ("GPL-3.0-header", 1.0), 2: ("Apache-2.0-header", 1.0), 3: (None, None)}
+
+
 def test_license_needed_words_lose_nothing():
     for grams in licenses.template_bigrams(licenses.TEMPLATES).values():
         words = licenses.needed_words(grams, 0.8)

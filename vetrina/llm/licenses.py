@@ -1,8 +1,8 @@
 """License scans: word-bigram Dice against licence templates, JVM-side throughout.
 
 A text is compared as a whole, line by line, and by runs of words, so that a notice is found that is wrapped over lines
-or has more words around it on its line. Normalising lower-cases it and turns everything but ASCII letters,
-ASCII digits and letters beyond ASCII into white space. A unit with a bigrams can reach a Dice coefficient of ``least``
+or has more words around it on its line. Normalising lower-cases A-Z and turns every ASCII sign, and
+the signs and blanks of ``SIGN_RANGES`` (typographic quotes, dashes, no-break spaces and the like), into white space. A unit with a bigrams can reach a Dice coefficient of ``least``
 with a template of b bigrams only if least / (2 - least) <= a / b <= (2 - least) / least; templates outside these bounds
 are not compared.
 
@@ -50,8 +50,11 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
-#: ASCII signs and white space but the line break, each of which separates words, and the upper-case letters.
-_BREAKS = "".join(chr(c) for c in range(1, 128) if not chr(c).isalnum() and chr(c) not in " \n")
+#: Code points beyond ASCII that separate words as well: Latin-1 signs, general punctuation, currency signs, the trade mark,
+#: ideographic punctuation, the byte order mark.
+SIGN_RANGES = [(0x80, 0xA9), (0xAB, 0xB4), (0xB6, 0xB9), (0xBB, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7), (0x2000, 0x206F), (0x20A0, 0x20BF), (0x2122, 0x2122), (0x3000, 0x303F), (0xFEFF, 0xFEFF)]
+#: Signs and white space but the line break, each of which separates words, and the upper-case letters.
+_BREAKS = "".join(chr(c) for c in range(1, 128) if not chr(c).isalnum() and chr(c) not in " \n") + "".join(chr(c) for a, b in SIGN_RANGES for c in range(a, b + 1))
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _RUNS = "array<struct<order: double, rank: int, first: int, last: int>>"
 _MATCHED = "array<struct<first: int, last: int, dice: double, line: boolean>>"
@@ -101,6 +104,12 @@ def _may_match(text: Column, known: dict[str, list[str]], least: float) -> Colum
     return reduce(operator.or_, (F.contains(text, F.lit(w)) for w in sorted(some) if not any(v != w and v in w for v in some)))
 
 
+def _has_needed(flat: Column, known: dict[str, list[str]], least: float) -> Column:
+    """Whether ``flat``, cleaned words between single or more blanks with one at either end, has a word that some template needs."""
+    some = {w for grams in known.values() for w in needed_words(grams, least)}
+    return reduce(operator.or_, (F.contains(flat, F.lit(f" {w} ")) for w in sorted(some)))
+
+
 def _once(rows: DataFrame, value: Column, name: str) -> DataFrame:
     """``rows`` with ``value``, behind a generator: filters pushed down would compute it again at every use."""
     return rows.select("*", F.explode(F.array(value)).alias(name))
@@ -182,7 +191,10 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
     bounds = [size_bounds(len(grams), least) for grams in known.values()]
     fewest, most = min(low for low, _ in bounds), max(high for _, high in bounds)
     clean = F.translate(F.coalesce("text", F.lit("")), _UPPER + _BREAKS, _UPPER.lower() + " " * len(_BREAKS))
-    texts = _once(docs.select("doc_id", "text"), clean, "_text").drop("text").where(_may_match(F.col("_text"), known, least))
+    # Lower case alone is cheap, and keeps every needed word that the cleaned text has.
+    some = _once(docs.select("doc_id", "text"), F.lower("text"), "_lower").where(_may_match(F.col("_lower"), known, least))
+    texts = _once(some, clean, "_text").drop("text", "_lower")
+    texts = _once(texts, F.concat(F.lit(" "), F.translate("_text", "\n", " "), F.lit(" ")), "_flat").where(_has_needed(F.col("_flat"), known, least)).drop("_flat")
     lines = F.split(F.col("_text"), "\n")
     units = F.when(F.size(lines) > 1, F.concat(F.array(F.translate("_text", "\n", " ")), lines)).otherwise(F.concat(F.array(F.lit("")), lines))
     rows = texts.select("doc_id", F.posexplode(units).alias("unit", "_line")).where(_may_match(F.col("_line"), known, least))

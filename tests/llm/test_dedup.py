@@ -182,6 +182,37 @@ def test_suffix_array_dedup_in_parts_and_pieces(docs, corpus, monkeypatch):
     assert _removed(substring_dedup.remove_repeats(docs([*corpus, *zeros]))) == _without_repeats([*corpus, *zeros])
 
 
+@pytest.mark.parametrize("most", [0, 12])
+def test_suffix_array_dedup_of_hot_minimizers(docs, corpus, monkeypatch, most):
+    """One gram in many differing surroundings, some of them shared; all minimizers, or the frequent ones, are hot."""
+    monkeypatch.setattr(substring_dedup, "HOT_RUNS", most)
+    rng = np.random.default_rng(2)
+    gram = "the same 16 bytes"
+    around = ["".join(rng.choice(list("abcdefgh"), 60)) for _ in range(30)]
+    rows = [(300 + i, around[i % 30] + gram + around[(i * 7 + i // 30) % 30]) for i in range(90)]
+    rows += [(None, around[3] + gram + around[5])]
+    want = _without_repeats([(-(2**63) if i is None else i, t) for i, t in [*corpus, *rows]])
+    got = sorted((-(2**63) if r.doc_id is None else r.doc_id, r.n_bytes, [(s.start, s.stop) for s in r.spans], bytes(r.kept)) for r in substring_dedup.remove_repeats(docs([*corpus, *rows])).collect())
+    assert got == want
+
+
+def test_lists_of_minimizers_grow_with_the_text(spark, docs, corpus, monkeypatch):
+    """One row for each minimizer of a block, however many blocks or shards there are."""
+    import pyarrow as pa
+
+    text = " ".join(t or "" for _, t in corpus).encode()
+    rows = lambda parts: [pa.table({"doc_id": [k], "text": [text[k * len(text) // parts : (k + 1) * len(text) // parts]], "block": [k]}) for k in range(parts)]
+    few, many = (sum(substring_dedup._minimizer_list(t).num_rows for t in rows(n)) for n in (2, 16))
+    assert few <= many < 1.5 * few
+
+
+def test_no_table_is_left_in_the_catalogue(spark, docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    substring_dedup.remove_repeats(docs([(1, "a" * 60), (2, "a" * 60)])).collect()
+    exact_dedup.dedup(docs([(1, "a"), (2, "a")])).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_without_repeats_carries_columns(docs):
     passage = "é" * 40 + " some passage that two documents share word for word"
     rows = docs([(1, "first " + passage), (2, passage + " second"), (None, None)], extra="c0")

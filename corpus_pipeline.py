@@ -4,7 +4,12 @@ quality classifier -> exact dedup -> SimHash near-dedup -> suffix-array dedup ->
 
 All stages but the last return the columns of ``documents``. The suffix-array stage replaces texts by what is left of
 them: bytes that no longer form a character are dropped, and n_chars is counted anew; a document that loses its whole
-text stays as an empty one. The last stage returns the packed pieces.
+text stays as an empty one. The last stage returns the packed pieces with their token ids.
+
+Defined cases, for every stage: a null or empty text is an empty document (the classifier scores it, equal empty ones are
+copies, it packs as one end token); a null doc_id is a document like any other, and the earliest one; very long texts are
+read as a whole; of tied or repeated rows one stays in the stages that drop copies; an empty table gives an empty result
+with the same columns; extra columns are carried up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,8 +41,8 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces placed in sequences."""
-    return packing.pack(docs)
+    """Token pieces, with their ids, placed in sequences."""
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("simhash near-dedup", near), ("suffix-array dedup", repeats), ("best-fit packing", pack)]

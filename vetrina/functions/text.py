@@ -1,48 +1,78 @@
 """Column functions that clean texts, titles and attribute words.
 
-Everything is a composition of built-in expressions but for the accent fold, which Spark lacks: it is one vectorised
-function that only receives texts beyond ASCII.
+Everything is a composition of built-in expressions but for accents, which Spark cannot fold: Arrow functions do that,
+and they touch only texts beyond ASCII. Each function names its input once, however often it needs it, so that functions
+of functions stay small.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from vetrina import vocab
 
 Rules = Iterable[tuple[str, ...]]
 
 
-@F.pandas_udf(StringType())
-def _fold_marks(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
+def _beyond_ascii(texts: pa.Array, change: Callable[[str], str]) -> pa.Array:
+    beyond = pc.invert(pc.fill_null(pc.string_is_ascii(texts), True))
+    if not pc.any(beyond).as_py():
+        return texts
+    changed = pa.array([change(x) for x in texts.filter(beyond).to_pylist()], texts.type)
+    return pc.replace_with_mask(texts, beyond, changed)
 
 
-@F.pandas_udf(StringType())
-def _composed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+def _without_marks(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
-def _beyond_ascii(c: Column, function) -> Column:
-    plain = c.rlike(r"^[\x00-\x7F]*$")
-    return F.when(plain, c).otherwise(function(F.when(~plain, c)))
+def _composed(text: str) -> str:
+    return unicodedata.normalize("NFC", text)
+
+
+@F.arrow_udf(StringType())
+def _fold(texts: pa.Array) -> pa.Array:
+    return _beyond_ascii(texts, _without_marks)
+
+
+@F.arrow_udf(StringType())
+def _compose(texts: pa.Array) -> pa.Array:
+    return _beyond_ascii(texts, _composed)
 
 
 def fold(c: Column) -> Column:
     """Compatibility decomposition without combining marks."""
-    return _beyond_ascii(c.cast("string"), _fold_marks)
+    return _fold(c.cast("string"))
+
+
+def folded(fold_: dict[str, Column], compose: dict[str, Column]) -> Column:
+    """A struct of folded and of composed texts, in one exchange with Python."""
+    names = [*fold_, *compose]
+    n = len(fold_)
+
+    def run(*texts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([_beyond_ascii(x, _without_marks if i < n else _composed) for i, x in enumerate(texts)], names)
+
+    kind = StructType([StructField(name, StringType()) for name in names])
+    return F.arrow_udf(run, kind)(*(c.cast("string") for c in (*fold_.values(), *compose.values())))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def filled(c: Column) -> Column:
     """Null for an empty text."""
-    return F.nullif(c, F.lit(""))
+    return F.get(F.array_remove(F.array(c), F.lit("")), F.lit(0))
 
 
 def squeeze(c: Column) -> Column:
@@ -70,39 +100,64 @@ def clean_title(c: Column, folded: bool = False) -> Column:
     return filled(squeeze(F.regexp_replace(text, r"[^a-z0-9\s]", " ")))
 
 
-def display_text(c: Column) -> Column:
-    """The original text, composed, without control characters."""
-    return filled(squeeze(F.regexp_replace(_beyond_ascii(c.cast("string"), _composed), r"\p{C}", " ")))
+def display_text(c: Column, composed: bool = False) -> Column:
+    """The original text, composed, without control characters. ``composed``: c is composed already."""
+    return filled(squeeze(F.regexp_replace(c if composed else _compose(c.cast("string")), r"\p{C}", " ")))
 
 
-def normalized_brand(c: Column) -> Column:
-    text = normalized_text(c)
-    return F.when(~text.isin(vocab.NULL_BRANDS), text)
+def normalized_brand(c: Column, folded: bool = False) -> Column:
+    return F.get(F.array_except(F.array(normalized_text(c, folded)), F.array(*map(F.lit, vocab.NULL_BRANDS))), F.lit(0))
 
 
-def first_rule(text: Column, rules: Rules) -> Column:
-    """Canonical value of the first rule, in their order, of which a term is a word of ``text``."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    found = [F.when(_or([F.contains(padded, F.lit(f" {t} ")) for t in terms]), F.lit(value)) for value, *terms in rules]
-    return F.coalesce(*found)
+def word_groups(text: Column, most: int) -> Column:
+    """The words of a text, and its groups of up to ``most`` neighbouring words."""
+
+    def groups(words: Column) -> Column:
+        out = [words]
+        for n in range(2, most + 1):
+            # Groups that reach beyond the last word are null, which equals no term.
+            out.append(F.zip_with(out[-1], F.slice(words, n, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)))
+        return F.concat(*out)
+
+    return let(F.split(text, " "), groups)
+
+
+def _longest(terms: Iterable[str]) -> int:
+    return max(t.count(" ") + 1 for t in terms)
+
 
+def rule_terms(text: Column, *rules: Rules) -> Column:
+    """The terms of any of some rules that are words of a text: what ``rule_of`` needs, found once for all of them."""
+    terms = sorted({t for own in rules for _, *some in own for t in some})
+    return F.array_intersect(word_groups(text, _longest(terms)), F.array(*map(F.lit, terms)))
 
-def _or(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
 
+def rule_of(terms: Column, rules: Rules) -> Column:
+    """Canonical value of the first rule, in their order, of which one of ``terms`` is a term."""
+    rules = list(rules)
+    rank: dict[str, int] = {}
+    for at, (_, *own) in enumerate(rules):
+        for term in own:
+            rank.setdefault(term, at)
+    by_term = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])
+    first = F.array_min(F.transform(terms, lambda x: F.try_element_at(by_term, x)))
+    return F.get(F.array(*(F.lit(value) for value, *_ in rules)), first)
 
-def known_value(c: Column, rules: Rules) -> Column:
+
+def first_rule(text: Column, rules: Rules) -> Column:
+    """Canonical value of the first rule, in their order, of which a term is a word of ``text``."""
+    rules = list(rules)
+    return rule_of(rule_terms(text, rules), rules)
+
+
+def known_value(c: Column, rules: Rules, folded: bool = False) -> Column:
     """Canonical value of a column, null if the vocabulary has none."""
-    return first_rule(normalized_text(c), rules)
+    return first_rule(normalized_text(c, folded), rules)
 
 
 def canonical_value(c: Column, rules: Rules) -> Column:
     """Canonical value of a column, or its normalised text."""
-    text = normalized_text(c)
-    return F.coalesce(first_rule(text, rules), text)
+    return let(normalized_text(c), lambda text: F.coalesce(first_rule(text, rules), text))
 
 
 def attribute_terms(value: str | None, rules: Rules) -> list[str]:
@@ -112,19 +167,38 @@ def attribute_terms(value: str | None, rules: Rules) -> list[str]:
     return next((list(terms) for own, *terms in rules if own == value), [value])
 
 
-_SIZE = r"(?:xxs|xs|s|m|l|xl|xxl|xxxl|[2-6]xl|taglia unica|one size|uni|(?:it|eu)\s*(?:[0-5]?\d(?:[.,]\d+)?)|(?:uk|us)\s*(?:[3-9]|1[0-5])(?:[.,]\d+)?|w\s*\d{2}\s*l\s*\d{2}|[3-5]\d(?:[.,]\d+)?)"
-_LABELLED_SIZE = rf"(?iU)(?:taglia|size|misura)\s*[:\-]?\s*({_SIZE}(?:\s*[/,;|\-]\s*{_SIZE})*)\b"
+def _numbers(first: int, last: int, zero: bool = False) -> str:
+    """Numbers with decimals, the longer ones first; with ``zero`` one digit may have a nought before it."""
+    wide = [f"{n:02d}" for n in range(first, last + 1) if zero or n > 9]
+    return rf"(?:{'|'.join([*wide, *(str(n) for n in range(first, min(last, 9) + 1))])})(?:[.,]\d+)?"
+
+
+def _phrases(words: Iterable[str]) -> str:
+    return "|".join(w.replace(" ", r"\s+") for w in words)
+
+
+def _size_pattern() -> str:
+    letters = [*vocab.SIZE_LETTERS, *_NUMBERED_XL]
+    regions = [rf"{region}\s*{_numbers(*ends, region in vocab.SIZE_ZERO_REGIONS)}" for region, ends in vocab.SIZE_REGIONS.items()]
+    waist_and_length = r"w\s*\d{2}\s*l\s*\d{2}"
+    return "(?:" + "|".join([*letters, *vocab.SIZE_WORDS, *regions, waist_and_length, _numbers(*vocab.SIZE_NUMBERS)]) + ")"
+
+
+_NUMBERED_XL = [f"{n}xl" for n in range(2, vocab.SIZE_LARGEST_XL + 1)]
+_SIZE = _size_pattern()
+_LABELLED_SIZE = rf"(?iU)(?:{'|'.join(vocab.SIZE_LABELS)})\s*[:\-]?\s*({_SIZE}(?:\s*[/,;|\-]\s*{_SIZE})*)\b"
 _LAST_SIZE = rf"(?iU)(?:\s*[-|,]\s*|\s+)({_SIZE})$"
-_ONE_SIZE = r"(?iU)(?:\s*[-|,]\s*)?\b(?:taglia\s+unica|one\s*size|onesize)\b"
-_LETTER_SIZE = r"(?iU)(?<!\w)(?:xxs|xs|xl|xxl|xxxl|[2-6]xl)(?!\w)"
+_ONE_SIZE = rf"(?iU)(?:\s*[-|,]\s*)?\b(?:{_phrases(vocab.SIZE_ONE_WORDS)})\b"
+#: Letters that are no words of their own go wherever they stand; bare s, m and l only at the end.
+_LETTER_SIZE = rf"(?iU)(?<!\w)(?:{'|'.join([x for x in vocab.SIZE_LETTERS if len(x) > 1] + _NUMBERED_XL)})(?!\w)"
 
 
-def normalized_size(c: Column) -> Column:
+def normalized_size(c: Column, folded: bool = False) -> Column:
     """Sizes as a comma list without repeats, in order of appearance; a comma between digits is a decimal one."""
     raw = F.translate(F.regexp_replace(c.cast("string"), r"(\d),(\d)", "$1.$2"), ",", "/")
-    text = normalized_text(raw)
-    text = F.regexp_replace(text, r"(?U)\b(?:one\s*size|onesize|tu|uni)\b", "taglia unica")
-    text = F.regexp_replace(text, r"(?U)\b(?:it|eu)\s*", "")
+    text = normalized_text(raw, folded)
+    text = F.regexp_replace(text, rf"(?U)\b(?:{_phrases(vocab.SIZE_ONE_ALIASES)})\b", "taglia unica")
+    text = F.regexp_replace(text, rf"(?U)\b(?:{'|'.join(vocab.SIZE_ZERO_REGIONS)})\s*", "")
     parts = F.filter(F.transform(F.split(text, "/"), lambda x: F.trim(x)), lambda x: x != "")
     return filled(F.concat_ws(", ", F.array_distinct(parts)))
 
@@ -132,7 +206,7 @@ def normalized_size(c: Column) -> Column:
 def extracted_size(c: Column) -> Column:
     """The size that a text names: labelled anywhere, else at its end."""
     labelled = F.regexp_extract(c, _LABELLED_SIZE, 1)
-    return normalized_size(F.coalesce(filled(labelled), filled(F.regexp_extract(c, _LAST_SIZE, 1))))
+    return normalized_size(F.coalesce(filled(labelled), filled(F.regexp_extract(c, _LAST_SIZE, 1))), folded=True)
 
 
 def without_size(c: Column) -> Column:
@@ -142,9 +216,16 @@ def without_size(c: Column) -> Column:
     return F.btrim(c, F.lit(" -|,"))
 
 
-_CONNECTORS = "in|di|da|con|per|for|with|made"
-#: What a title must not end in: separators, and connectors and conjunctions behind a separator, however many.
-_TAIL = rf"(?iU)(?:[\s\-–—|,;:/.]|(?<=[\s\-|,/])(?:(?:{_CONNECTORS})\s+(?:e|ed|and|a)|{_CONNECTORS}|e|ed|and|o|or)\b(?=[\s\-–—|,;:/.]|$))+$"
+def _tail() -> str:
+    """What a title must not end in: separators, and connectors and conjunctions behind a separator, however many."""
+    connectors, pairs = "|".join(vocab.TITLE_CONNECTORS), "|".join(vocab.TITLE_PAIR_CONJUNCTIONS)
+    lone = "|".join([*vocab.TITLE_CONNECTORS, *vocab.TITLE_CONJUNCTIONS])
+    before, after = r"[\s\-|,/]", r"[\s\-–—|,;:/.]"
+    return rf"(?iU)(?:{after}|(?<={before})(?:(?:{connectors})\s+(?:{pairs})|{lone})\b(?={after}|$))+$"
+
+
+_TAIL = _tail()
+_LINKED_CONJUNCTION = rf"(?iU)(?<!\w)(?:{'|'.join(vocab.TITLE_LINKS)})\s+(?:{'|'.join(vocab.TITLE_CONJUNCTIONS[:2])})(?!\w)"
 
 
 def _without_words(c: Column, words: Iterable[str]) -> Column:
@@ -157,15 +238,17 @@ def display_title(title: Column, brand: Column | None = None) -> Column:
     Words of every attribute vocabulary go whatever the row's own attributes are, which covers those as well. If nothing
     is left, the title without sizes stays.
     """
-    short = without_size(title)
-    text = short
-    text = _without_words(text, vocab.MARKETING_PHRASES)
+    return let(without_size(title), lambda short: _shortened(short, brand))
+
+
+def _shortened(short: Column, brand: Column | None) -> Column:
+    text = _without_words(short, vocab.MARKETING_PHRASES)
     if brand is not None:
-        quoted = F.concat(F.lit(r"(?iU)(?<!\w)\Q"), F.replace(brand, F.lit(r"\E"), F.lit("")), F.lit(r"\E(?!\w)"))
-        text = F.when(F.coalesce(brand, F.lit("")) == "", text).otherwise(F.regexp_replace(text, quoted, F.lit(" ")))
+        quoted = F.concat(F.lit(r"(?iU)(?<!\w)\Q"), F.replace(filled(brand), F.lit(r"\E"), F.lit("")), F.lit(r"\E(?!\w)"))
+        text = F.regexp_replace(text, F.coalesce(quoted, F.lit("(?!)")), F.lit(" "))
     attributes = (vocab.COLOR_RULES, vocab.MATERIAL_RULES, vocab.GENDER_RULES, vocab.AGE_GROUP_RULES)
     text = _without_words(text, [*(t for rules in attributes for _, *terms in rules for t in terms), *vocab.DISPLAY_ONLY_WORDS])
-    text = F.regexp_replace(text, r"(?iU)(?<!\w)(?:in|di|da|con|per)\s+(?:e|ed)(?!\w)", " ")
+    text = F.regexp_replace(text, _LINKED_CONJUNCTION, " ")
     text = F.regexp_replace(squeeze(text), _TAIL, "")
     text = F.regexp_replace(text, r"(?iU)\bpantaloni\s+jean\b", "Pantaloni Jeans")
     text = F.btrim(F.regexp_replace(text, r"(?U)\s+", " "), F.lit(" -|,/:;."))
@@ -175,24 +258,24 @@ def display_title(title: Column, brand: Column | None = None) -> Column:
 def family_title(clean: Column) -> Column:
     """A clean title without colours and sizes: what colour and size variants of a model share."""
     text = F.regexp_replace(clean, rf"\b(?:{'|'.join(vocab.FAMILY_COLORS)})\b", " ")
-    return squeeze(F.regexp_replace(text, r"\b(?:xxs|xs|s|m|l|xl|xxl|xxxl|[3-5]\d)\b", " "))
+    first, last = vocab.SIZE_NUMBERS
+    return squeeze(F.regexp_replace(text, rf"\b(?:{'|'.join([*vocab.SIZE_LETTERS, *map(str, range(first, last + 1))])})\b", " "))
 
 
 def title_issues(title: Column) -> Column:
     """What is wrong with a title, as an array of codes in a fixed order."""
-    text = F.coalesce(normalized_text(title), F.lit(""))
     words = {t for rules in (vocab.COLOR_RULES, vocab.MATERIAL_RULES, vocab.GENDER_RULES, vocab.AGE_GROUP_RULES) for _, *terms in rules for t in terms if len(t) > 2}
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    attribute = _or([F.contains(padded, F.lit(f" {t} ")) for t in sorted(words | set(vocab.TITLE_ATTRIBUTE_WORDS))])
-    last = F.substring_index(text, " ", -1)
-    found = F.array_compact(
-        F.array(
-            F.when(last.isin(vocab.TITLE_TRAILING_WORDS), F.lit("connettivo_finale")),
-            F.when(attribute, F.lit("attributo_nel_titolo")),
-            F.when(text.rlike(r"(?U)\b(?:in|di|da|con|per)\s*$"), F.lit("preposizione_finale")),
+    terms = sorted(words | set(vocab.TITLE_ATTRIBUTE_WORDS))
+
+    def issues(text: Column) -> Column:
+        found = F.array(
+            F.when(F.substring_index(text, " ", -1).isin(vocab.TITLE_TRAILING_WORDS), F.lit("connettivo_finale")),
+            F.when(F.arrays_overlap(F.array_compact(word_groups(text, _longest(terms))), F.array(*map(F.lit, terms))), F.lit("attributo_nel_titolo")),
+            F.when(text.rlike(rf"(?U)\b(?:{'|'.join(vocab.TITLE_LINKS)})\s*$"), F.lit("preposizione_finale")),
         )
-    )
-    return F.when(text == "", F.array(F.lit("titolo_vuoto"))).otherwise(found)
+        return F.when(text == "", F.array(F.lit("titolo_vuoto"))).otherwise(F.array_compact(found))
+
+    return let(F.coalesce(normalized_text(title), F.lit("")), issues)
 
 
 def visual_colors(c: Column) -> Column:

@@ -69,15 +69,15 @@ def operational_update(spark, d):
 
 @query(
     "upsert_keep_enriched",
-    f"""WITH {PRODUCTS}, old AS (SELECT product_id, title, color, material, 'first' AS seen FROM products WHERE product_id % 3 <> 0),
-new AS (SELECT product_id, upper(title) AS title, CASE WHEN product_id % 2 = 0 THEN 'new ' || color END AS color, 'velluto' AS material, 'second' AS seen FROM products WHERE product_id % 4 <> 0)
+    f"""WITH {PRODUCTS}, old AS (SELECT product_id, title, color, material, 'first' AS seen FROM products),
+new AS (SELECT product_id * 2 AS product_id, upper(title) AS title, CASE WHEN product_id % 2 = 0 THEN 'new ' || color END AS color, 'velluto' AS material, 'second' AS seen FROM products)
 SELECT coalesce(n.product_id, o.product_id) AS product_id, CASE WHEN n.product_id IS NOT NULL THEN n.title ELSE o.title END AS title, coalesce(n.color, o.color) AS color, coalesce(o.material, n.material) AS material, coalesce(o.seen, n.seen) AS seen
 FROM old o FULL JOIN new n USING (product_id)""",
 )
 def upsert_keep_enriched(spark, d):
     p = products(spark, d)
-    old = p.where("product_id % 3 <> 0").select("product_id", "title", "color", "material", F.lit("first").alias("seen"))
-    new = p.where("product_id % 4 <> 0").select("product_id", F.upper("title").alias("title"), F.when(F.col("product_id") % 2 == 0, F.concat(F.lit("new "), "color")).alias("color"), F.lit("velluto").alias("material"), F.lit("second").alias("seen"))
+    old = p.select("product_id", "title", "color", "material", F.lit("first").alias("seen"))
+    new = p.select((F.col("product_id") * 2).alias("product_id"), F.upper("title").alias("title"), F.when(F.col("product_id") % 2 == 0, F.concat(F.lit("new "), "color")).alias("color"), F.lit("velluto").alias("material"), F.lit("second").alias("seen"))
     return snapshot.upsert(old, new, ["product_id"], keep_old=["color"], prefer_old=["material"], once=["seen"])
 
 
@@ -170,10 +170,10 @@ def review_queue(spark, d):
     return titles.review_queue(docs, reviews, 100).select("id", "source_title")
 
 
-@query("image_offers", "SELECT page_id AS id, trim(CASE page_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN NULL ELSE url END) AS image_link FROM pages WHERE page_id % 4 > 1 ORDER BY id LIMIT 40")
+@query("image_offers", "SELECT page_id AS id, trim(CASE page_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN NULL ELSE url END) AS image_link FROM pages WHERE page_id % 4 > 1 AND trim(url) <> ''")
 def image_offers(spark, d):
     rows = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.when(F.col("page_id") % 4 == 0, "  ").when(F.col("page_id") % 4 > 1, F.col("url")).alias("image_link"))
-    return assets.with_image(rows, 40)
+    return assets.with_image(rows, 0)
 
 
 @query(
@@ -195,16 +195,16 @@ def color_resolution(spark, d):
 
 @query(
     "asset_upsert_prefer_old",
-    """WITH old AS (SELECT sha256(CAST(vec_id AS VARCHAR)) AS image_sha256, 'old' || vec_id AS image_link, CASE WHEN vec_id % 3 = 0 THEN label END AS tag FROM embeddings WHERE vec_id % 2 = 0),
-new AS (SELECT sha256(CAST(vec_id AS VARCHAR)) AS image_sha256, 'new' || vec_id AS image_link, label + 100 AS tag FROM embeddings WHERE vec_id % 5 = 0)
+    """WITH old AS (SELECT sha256(CAST(vec_id AS VARCHAR)) AS image_sha256, 'old' || vec_id AS image_link, CASE WHEN vec_id % 3 = 0 THEN label END AS tag FROM embeddings),
+new AS (SELECT sha256(CAST(vec_id * 2 AS VARCHAR)) AS image_sha256, 'new' || vec_id AS image_link, label + 100 AS tag FROM embeddings)
 SELECT coalesce(n.image_sha256, o.image_sha256) AS image_sha256, coalesce(n.image_link, o.image_link) AS image_link, coalesce(o.tag, n.tag) AS tag FROM old o FULL JOIN new n ON o.image_sha256 = n.image_sha256""",
 )
 def asset_upsert_prefer_old(spark, d):
     e = table(spark, d, "embeddings")
-    sha = F.sha2(F.col("vec_id").cast("string"), 256).alias("image_sha256")
+    sha = lambda key: F.sha2(key.cast("string"), 256).alias("image_sha256")
     link = lambda p: F.concat(F.lit(p), F.col("vec_id").cast("string")).alias("image_link")
-    old = e.where("vec_id % 2 = 0").select(sha, link("old"), F.when(F.col("vec_id") % 3 == 0, F.col("label")).alias("tag"))
-    return assets.upsert_assets(old, e.where("vec_id % 5 = 0").select(sha, link("new"), (F.col("label") + 100).alias("tag")))
+    old = e.select(sha(F.col("vec_id")), link("old"), F.when(F.col("vec_id") % 3 == 0, F.col("label")).alias("tag"))
+    return assets.upsert_assets(old, e.select(sha(F.col("vec_id") * 2), link("new"), (F.col("label") + 100).alias("tag")))
 
 
 _PROBE = [((i * 37) % 64 - 31.5) / 32 for i in range(64)]

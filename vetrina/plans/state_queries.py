@@ -26,10 +26,10 @@ def _now():
 
 
 def _wanted(spark, d):
-    return table(spark, d, "events").where("event_id % 3 = 0").select(F.concat(F.lit("h"), (F.col("event_id") * 2).cast("string")).alias("content_hash"))
+    return table(spark, d, "events").select(F.concat(F.lit("h"), (F.col("event_id") * 2).cast("string")).alias("content_hash"))
 
 
-_CLAIM = f"""{_JOBS}, want AS (SELECT DISTINCT 'h' || (event_id * 2) AS content_hash, TRUE AS w FROM events WHERE event_id % 3 = 0),
+_CLAIM = f"""{_JOBS}, want AS (SELECT DISTINCT 'h' || (event_id * 2) AS content_hash, TRUE AS w FROM events),
 joined AS (SELECT coalesce(j.content_hash, w.content_hash) AS content_hash, status, attempts, started_at, error, coalesce(w AND (status IS NULL OR {_FREE}), FALSE) AS claimed FROM jobs j FULL JOIN want w USING (content_hash)),
 claimed AS (SELECT content_hash, CASE WHEN claimed THEN 'running' ELSE status END AS status, CAST(coalesce(attempts, 0) + CASE WHEN claimed THEN 1 ELSE 0 END AS INTEGER) AS attempts, CASE WHEN claimed THEN NULL ELSE error END AS error, claimed FROM joined)"""
 
@@ -46,7 +46,7 @@ def ai_queue_finish(spark, d):
     return enrich.finish(claimed.drop("claimed"), outcome).select("content_hash", "status", "error")
 
 
-@query("ai_queue_pending", f"WITH {_JOBS}, new AS (SELECT DISTINCT 'h' || (event_id * 2) AS content_hash FROM events WHERE event_id % 3 = 0) SELECT content_hash, status, attempts FROM jobs UNION ALL SELECT content_hash, 'pending', 0 FROM new WHERE content_hash NOT IN (SELECT content_hash FROM jobs)")
+@query("ai_queue_pending", f"WITH {_JOBS}, new AS (SELECT DISTINCT 'h' || (event_id * 2) AS content_hash FROM events) SELECT content_hash, status, attempts FROM jobs UNION ALL SELECT content_hash, 'pending', 0 FROM new WHERE content_hash NOT IN (SELECT content_hash FROM jobs)")
 def ai_queue_pending(spark, d):
     return enrich.mark_pending(_jobs(spark, d), _wanted(spark, d)).select("content_hash", "status", "attempts")
 
@@ -129,11 +129,11 @@ def rate_limit_log(spark, d):
     return state.accepted_requests(table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", 2, 86_400)
 
 
-@query("link_cache_ttl", "WITH c AS (SELECT user_id AS key, max(ts) AS created_at, max_by(event_id, ts) AS link FROM events GROUP BY user_id), n AS (SELECT user_id AS key, TIMESTAMP '2024-02-06 00:00:00' AS created_at, -user_id AS link FROM events WHERE user_id % 10 = 0 GROUP BY user_id) SELECT key, link FROM (SELECT * FROM c WHERE key NOT IN (SELECT key FROM n) UNION ALL SELECT * FROM n) WHERE created_at > TIMESTAMP '2024-02-05 21:00:00' - INTERVAL 7 DAY")
+@query("link_cache_ttl", "WITH c AS (SELECT user_id AS key, max(ts) AS created_at, max_by(event_id, ts) AS link FROM events GROUP BY user_id), n AS (SELECT user_id AS key, TIMESTAMP '2024-02-06 00:00:00' AS created_at, -user_id AS link FROM events WHERE event_type = 'error' GROUP BY user_id) SELECT key, link FROM (SELECT * FROM c WHERE key NOT IN (SELECT key FROM n) UNION ALL SELECT * FROM n) WHERE created_at > TIMESTAMP '2024-02-05 21:00:00' - INTERVAL 7 DAY")
 def link_cache_ttl(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     cache = e.groupBy(F.col("user_id").alias("key")).agg(F.max("ts").alias("created_at"), F.max_by("event_id", "ts").alias("link"))
-    new = e.where("user_id % 10 = 0").select(F.col("user_id").alias("key"), F.expr("timestamp '2024-02-06 00:00:00'").alias("created_at"), (-F.col("user_id")).alias("link")).distinct()
+    new = e.where("event_type = 'error'").select(F.col("user_id").alias("key"), F.expr("timestamp '2024-02-06 00:00:00'").alias("created_at"), (-F.col("user_id")).alias("link")).distinct()
     return state.fresh_links(state.put_links(cache, new), F.expr("timestamp '2024-02-05 21:00:00'")).select("key", "link")
 
 
@@ -142,19 +142,21 @@ def history_last5(spark, d):
     return state.last_entries(table(spark, d, "conversations"), "conv_id", "turn", 5).select("conv_id", "turn", "role")
 
 
-@query("feedback_append", f"WITH {OFFERS} SELECT id, CAST(NULL AS VARCHAR) AS note FROM offers WHERE quantity = 1 UNION ALL SELECT event_id, event_type FROM events WHERE event_id % 10 = 0")
+@query("feedback_append", f"WITH {OFFERS} SELECT id, CAST(NULL AS VARCHAR) AS note FROM offers UNION ALL SELECT event_id, event_type FROM events")
 def feedback_append(spark, d):
-    first = offers(spark, d).where("quantity = 1").select("id")
-    more = table(spark, d, "events").where("event_id % 10 = 0").select(F.col("event_id").alias("id"), F.col("event_type").alias("note"))
+    first = offers(spark, d).select("id")
+    more = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("note"))
     return state.append(first, more).select("id", "note")
 
 
-@query("model_answers", "SELECT CAST(doc_id AS VARCHAR) AS id, trim(regexp_replace(regexp_replace('Title ' || doc_id, '[\\x00-\\x1f\\x7f]+', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM documents WHERE doc_id % 5 = 0 AND doc_id % 3 = 0")
+@query("model_answers", "SELECT CAST(doc_id AS VARCHAR) AS id, 'Title ' || doc_id || ' ' || source AS title FROM documents WHERE lang = 'en'")
 def model_answers(spark, d):
+    """An answer for every document; those for texts in other languages name an id that was not asked for."""
     docs = table(spark, d, "documents")
-    raw = docs.where("doc_id % 5 = 0").select(F.concat(F.lit('```json\n[{"id": "'), F.col("doc_id").cast("string"), F.lit('", "title": "Title\\n\\t'), F.col("doc_id").cast("string"), F.lit('"}]\n```')).alias("answer"))
-    asked = docs.where("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("id"))
-    return titles.parsed_answers(raw, asked).select("id", without_controls(F.col("title")).alias("title"))
+    key = F.col("doc_id").cast("string")
+    named = F.when(F.col("lang") == "en", key).otherwise(F.concat(F.lit("x"), key))
+    raw = docs.select(F.concat(F.lit('```json\n[{"id": "'), named, F.lit('", "title": "Title\\n\\t'), key, F.lit("\\u0007 "), "source", F.lit('"}]\n```')).alias("answer"))
+    return titles.parsed_answers(raw, docs.select(key.alias("id"))).select("id", without_controls(F.col("title")).alias("title"))
 
 
 @query("title_review_apply", f"WITH {PRODUCTS}, x AS (SELECT product_id, CASE product_id % 3 WHEN 0 THEN 'Fine title' WHEN 1 THEN 'Broken con' END AS t, title FROM products) SELECT product_id AS id, CASE WHEN t = 'Fine title' THEN t ELSE title END AS title FROM x")
@@ -164,25 +166,6 @@ def title_review_apply(spark, d):
     return titles.apply_reviews(flat, answers, _now())[0].select("id", "title")
 
 
-@query("code_fence", "SELECT event_id, '[' || event_id || ']' AS body FROM events WHERE event_id % 50 = 0")
+@query("code_fence", "SELECT event_id, '[' || event_id || ']' AS body FROM events")
 def code_fence(spark, d):
-    rows = table(spark, d, "events").where("event_id % 50 = 0")
-    return rows.select("event_id", without_code_fence(F.concat(F.lit(" ```JSON\n["), F.col("event_id").cast("string"), F.lit("]\n``` "))).alias("body"))
-
-
-# Feed rows made of order lines, cleaned as a whole: what is kept, priced and typed.
-@query(
-    "clean_feed_rows",
-    f"""WITH {OFFERS}, p AS (SELECT p_partkey, p_name FROM part)
-SELECT id AS feed_pos, advertiser_id, CASE WHEN sale_price < price THEN CAST(sale_price AS DOUBLE) END AS sale_price, CAST(price AS DOUBLE) AS price,
-  CASE quantity % 3 WHEN 0 THEN 'scarpe' WHEN 1 THEN 'abbigliamento' END AS product_type, CASE quantity % 3 WHEN 0 THEN 'sneakers' WHEN 1 THEN 'giacche' END AS sottocategoria,
-  CASE WHEN p_name LIKE 'red %' THEN 'rosso' WHEN p_name LIKE 'blue %' THEN 'blu' END AS color, flag <> 'R' AS available
-FROM offers JOIN p ON p_partkey = product_id WHERE quantity % 10 <> 0""",
-)
-def clean_feed_rows(spark, d):
-    from vetrina.operators.clean import clean_feed
-
-    x = offers(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), "p_name"), "product_id")
-    kind = F.when(F.col("quantity") % 3 == 0, " sneakers").when(F.col("quantity") % 3 == 1, " giacca").otherwise("")
-    rows = x.select(F.col("id").alias("feed_pos"), F.col("advertiser_id").cast("string").alias("Merchant ID"), F.col("source_product_id").alias("id"), F.concat("p_name", kind).alias("Product_Name"), F.concat(F.translate(F.col("price").cast("string"), ".", ","), F.lit(" EUR")).alias("price"), F.col("sale_price").cast("string").alias("sale_price"), F.when(F.col("quantity") % 10 != 0, "https://example.com/x").alias("link"), F.when(F.col("flag") != "R", "in_stock").otherwise("out_of_stock").alias("availability"))
-    return clean_feed(rows).select("feed_pos", "advertiser_id", "sale_price", "price", "product_type", "sottocategoria", "color", "available")
+    return table(spark, d, "events").select("event_id", without_code_fence(F.concat(F.lit(" ```JSON\n["), F.col("event_id").cast("string"), F.lit("]\n``` "))).alias("body"))

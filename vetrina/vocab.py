@@ -122,6 +122,24 @@ UNITS = ["gb", "tb", "mb", "ram", "mah", "kg", "g", "cm", "mm", "pollici", "inch
 TITLE_TRAILING_WORDS = ["in", "di", "da", "con", "per", "e", "ed", "o", "and", "or", "with", "for", "made"]
 TITLE_ATTRIBUTE_WORDS = ["militare", "tessuto", "intrecciato", "intrecciata", "mesh", "suede", "scamosciato", "scamosciata"]
 
+#: Sizes. Letters; numbered ones up to which "2xl" goes; numbers that are sizes on their own; regions with their first and
+#: last number, and those that write a leading zero; words for the one size there is; labels before a size in a text.
+SIZE_LETTERS = ["xxs", "xs", "s", "m", "l", "xl", "xxl", "xxxl"]
+SIZE_LARGEST_XL = 6
+SIZE_NUMBERS = (30, 59)
+SIZE_REGIONS = {"it": (0, 59), "eu": (0, 59), "uk": (3, 15), "us": (3, 15)}
+SIZE_ZERO_REGIONS = ["it", "eu"]
+SIZE_WORDS = ["taglia unica", "one size", "uni"]
+SIZE_ONE_WORDS = ["taglia unica", "one size", "onesize"]
+SIZE_ONE_ALIASES = ["one size", "onesize", "tu", "uni"]
+SIZE_LABELS = ["taglia", "size", "misura"]
+
+#: Words that link two parts of a title: before an attribute, before a conjunction, and conjunctions.
+TITLE_LINKS = ["in", "di", "da", "con", "per"]
+TITLE_CONNECTORS = ["in", "di", "da", "con", "per", "for", "with", "made"]
+TITLE_PAIR_CONJUNCTIONS = ["e", "ed", "and", "a"]
+TITLE_CONJUNCTIONS = ["e", "ed", "and", "o", "or"]
+
 FAMILY_COLORS = ["nero", "bianco", "blu", "rosso", "verde", "grigio", "beige", "rosa", "marrone", "giallo", "viola"]
 
 VISUAL_COLOR_ALIASES = {

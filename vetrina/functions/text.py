@@ -129,7 +129,8 @@ def _longest(terms: Iterable[str]) -> int:
 def rule_terms(text: Column, *rules: Rules) -> Column:
     """The terms of any of some rules that are words of a text: what ``rule_of`` needs, found once for all of them."""
     terms = sorted({t for own in rules for _, *some in own for t in some})
-    return F.array_intersect(word_groups(text, _longest(terms)), F.array(*map(F.lit, terms)))
+    # A set of literals is hashed once for a plan, an array of them once for a row.
+    return F.filter(word_groups(text, _longest(terms)), lambda x: x.isin(terms))
 
 
 def rule_of(terms: Column, rules: Rules) -> Column:
@@ -270,7 +271,7 @@ def title_issues(title: Column) -> Column:
     def issues(text: Column) -> Column:
         found = F.array(
             F.when(F.substring_index(text, " ", -1).isin(vocab.TITLE_TRAILING_WORDS), F.lit("connettivo_finale")),
-            F.when(F.arrays_overlap(F.array_compact(word_groups(text, _longest(terms))), F.array(*map(F.lit, terms))), F.lit("attributo_nel_titolo")),
+            F.when(F.size(F.filter(word_groups(text, _longest(terms)), lambda x: x.isin(terms))) > 0, F.lit("attributo_nel_titolo")),
             F.when(text.rlike(rf"(?U)\b(?:{'|'.join(vocab.TITLE_LINKS)})\s*$"), F.lit("preposizione_finale")),
         )
         return F.when(text == "", F.array(F.lit("titolo_vuoto"))).otherwise(F.array_compact(found))

@@ -59,6 +59,16 @@ def test_round_trip_query(docs, corpus, library):
     assert {r.doc_id: r.ids for r in bpe.encode(docs([(1, "the fox"), (2, None)])).collect()} == {1: library.encode("the fox").ids, 2: []}
 
 
+def test_encoding_many_texts_is_encoding_each(ours, library, corpus, monkeypatch):
+    """Texts with special tokens, rare code points and white space of every kind, in portions of a few."""
+    monkeypatch.setattr(bpe, "PORTION", 500)
+    texts = [t or "" for _, t in corpus] + ["<|x|> a", "a\x1cb c", "\u2003É\u00a0Σσ\x85x", "\U000107a3 new", " ", "\n a\t\tb ", "<" + next(iter(ours.special), "s>") + ">" + " tail"]
+    assert [len(p) for p in bpe.portions(["a" * 600, "b", "c" * 499, "d"])] == [1, 2, 1]
+    got = [ids.tolist() for part in bpe.portions(texts) for ids in ours.encode_many(part)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ours.encode_many([]) == []
+
+
 def _check_packing(rows, capacity=packing.CAPACITY):
     places = defaultdict(list)
     for r in rows:

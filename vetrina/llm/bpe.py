@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ from vetrina.llm import common
 
 #: Chunks that a worker remembers in each of two generations, at most.
 MEMORY = 300_000
+#: Characters of text that are encoded together.
+PORTION = 1 << 22
 #: The library's white space is Unicode's; ``str.split`` also splits at these four.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Outside the long-settled letters and signs; only there may a code point be too new for Python.
@@ -73,9 +76,12 @@ class WordBpe:
         # The last symbol of a word is a letter of its own, 0x1000 further on.
         keyed = {t: (t[: -len(suffix) - 1] + chr(ord(t[-len(suffix) - 1]) + 0x1000) if t.endswith(suffix) and len(t) > len(suffix) else t) for t in vocab}
         self.length = {i: len(keyed[t]) for t, i in vocab.items()}
+        # Single symbols are looked up; the automaton finds the longer tokens.
+        self.symbol = {keyed[t]: i for t, i in vocab.items() if len(keyed[t]) == 1}
         self.tokens = ahocorasick.Automaton()
         for t, i in vocab.items():
-            self.tokens.add_word(keyed[t], (i, len(keyed[t]) - 1))
+            if len(keyed[t]) > 1:
+                self.tokens.add_word(keyed[t], (i, len(keyed[t]) - 1))
         self.tokens.make_automaton()
         self.by_text = {keyed[t]: i for t, i in vocab.items()}
         # The longest token that is a proper prefix of each token; -1 if none.
@@ -127,11 +133,12 @@ class WordBpe:
         if whole is not None and self._reachable(whole):
             return (whole,)
         n, length, shorter, fits, width = len(symbols), self.length, self.shorter, self.fits, len(self.rank)
-        longest = [-1] * n
+        try:
+            longest = [self.symbol[c] for c in symbols]
+        except KeyError as error:
+            raise ValueError(f"no token for {error.args[0]!r}") from error
         for end, (token, back) in self.tokens.iter(symbols):
             longest[end - back] = token
-        if -1 in longest:
-            raise ValueError(f"no token for {symbols[longest.index(-1)]!r}")
         out, ends, dead = [], [0], set()
         at, token, left = 0, longest[0], -1
         while True:
@@ -217,6 +224,36 @@ class WordBpe:
             at = found.end()
         return np.frombuffer(b"".join([*out, *self._plain(text[at:])]), "<u4")
 
+    def _plain_text(self, text: str) -> str | None:
+        """Chunks of ``text`` between ASCII white space; null if it has special tokens or needs the library."""
+        if "<" in text and self.cut is not None and self.cut.search(text):
+            return None
+        if text.isascii():
+            return text.lower()
+        if _RARE.search(text) and any(unicodedata.category(c) == "Cn" for c in set(text)):
+            return None
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return " ".join(text.split() if _NOT_SPACE.search(text) is None else regex.split(r"\p{White_Space}+", text))
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of some texts; a chunk that they repeat is looked up once."""
+        plain = [self._plain_text(t) for t in texts]
+        parts = pc.ascii_split_whitespace(pa.array(["" if p is None else p for p in plain], pa.large_string()))
+        chunks = parts.values.dictionary_encode()
+        found = [self.known.get(c) or self._chunk(c) for c in chunks.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        if len(self.known) > MEMORY:
+            self.older, self.known = self.known, {}
+        if len(self.fits) > MEMORY:
+            self.fits.clear()
+        table, size = np.frombuffer(b"".join(found), "<u4"), np.array([len(x) for x in found], np.int64) // 4
+        at = chunks.indices.to_numpy()
+        start, n = (np.cumsum(size) - size)[at], size[at]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = table[np.repeat(start - (ends - n), n) + np.arange(total)]
+        cuts = np.concatenate([[0], ends])[parts.offsets.to_numpy()]
+        return [self.encode(t) if p is None else ids[a:b] for t, p, a, b in zip(texts, plain, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
     def _by_library(self, text: str) -> np.ndarray:
         """For texts with code points newer than this Python's Unicode tables, which the vocabulary's library may know."""
         if self.library is None:
@@ -237,6 +274,20 @@ class WordBpe:
         return self.strings[np.repeat(start - (place - size), size) + np.arange(place[-1])][:-1].tobytes()
 
 
+def portions(texts: list[str]) -> Iterator[list[str]]:
+    """Some texts at a time: ``PORTION`` characters, or one longer text."""
+    part: list[str] = []
+    size = 0
+    for text in texts:
+        if part and size + len(text) > PORTION:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part:
+        yield part
+
+
 _loaded: dict[str, WordBpe] = {}
 
 
@@ -254,12 +305,13 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [bpe.encode(t.as_py()) for t in part.column("text")]
+            at = 0
+            for part in portions(batch.column("text").to_pylist()):
+                ids = bpe.encode_many(part)
                 flat = np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32)
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "ids"])
+                at += len(part)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
@@ -274,8 +326,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
         decimal = [str(i) for i in range(len(bpe.offset))]
         for batch in batches:
             counts, ids_hex, text_hex = [], [], []
-            for t in batch.column("text"):
-                ids = bpe.encode(t.as_py())
+            for ids in (x for part in portions(batch.column("text").to_pylist()) for x in bpe.encode_many(part)):
                 counts.append(len(ids))
                 ids_hex.append(hashlib.sha256(" ".join([decimal[i] for i in ids.tolist()]).encode()).hexdigest())
                 text_hex.append(hashlib.sha256(bpe.decode(ids)).hexdigest())

@@ -43,8 +43,9 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
         for batch in batches:
             rows: list[tuple] = []
             tokens = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.append(tokenizer.encode(text.as_py()), np.uint32(END_ID)).astype("<u4")
+            encoded = (x for part in bpe.portions(batch.column("text").to_pylist()) for x in tokenizer.encode_many(part))
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
+                ids = np.append(own, np.uint32(END_ID)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     rows.append((doc_id, k, at, len(part), zlib.crc32(part)))

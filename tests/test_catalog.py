@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vetrina.operators import assets, clean, enrich, identity, resolve, sampling, search, snapshot, state, titles, views
 from vetrina.operators.search import Filters, ManualFilters
+from vetrina.operators.sync import Catalog
 from vetrina.sources import feed, runs
 
 T0, T1 = datetime(2024, 1, 1), datetime(2024, 1, 2)
@@ -114,6 +115,68 @@ def test_snapshot_swaps_and_locks(spark, tmp_path):
         pass
 
 
+def test_a_writer_that_stops_leaves_the_current_version(spark, tmp_path, monkeypatch):
+    s = snapshot.Snapshot(spark, str(tmp_path / "t"))
+    s.replace(spark.range(3))
+
+    def stop(self, *_):
+        raise OSError("lost")
+
+    monkeypatch.setattr(snapshot.Snapshot, "_pointers", stop)
+    with pytest.raises(OSError):
+        s.replace(spark.range(9))
+    monkeypatch.undo()
+    assert s.read().count() == 3
+    for n in range(10, 15):
+        s.replace(spark.range(n))
+    assert s.read().count() == 14
+    left = [p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]
+    assert len(left) == snapshot.KEPT_VERSIONS == len(s._pointers())
+
+
+def test_a_lock_that_is_not_renewed_is_taken_over(spark, tmp_path):
+    import os
+    import time
+
+    s = snapshot.Snapshot(spark, str(tmp_path / "t"))
+    s.replace(spark.range(1))
+    lock = tmp_path / "t" / "LOCK"
+    lock.touch()
+    os.utime(lock, (time.time() - 100,) * 2)
+    with pytest.raises(RuntimeError), s.lock(lease=1000):
+        pass
+    with s.lock(lease=50):
+        assert time.time() - lock.stat().st_mtime < 50
+        os.utime(lock, (time.time() - 100,) * 2)
+        s.renew()
+        assert time.time() - lock.stat().st_mtime < 50
+    assert not lock.exists()
+
+
+def test_stored_products_are_found_by_ean_part_and_title(spark):
+    schema = "id long, product_key string, ean string, brand string, extracted_model string, model_title string, model_match_confidence string, advertiser_id long, clean_title string, first_seen_at timestamp"
+    rows = [(1, "x", "e1", "acme", None, None, None, 1, "giacca", T0), (2, None, None, "acme", "M1", None, None, 1, "polo", T0), (3, None, None, "acme", None, "runner", "high", 1, "runner blu", T0), (4, "x", "e1", "acme", "M9", "other", "high", 1, "giacca", T0)]
+    stored = spark.createDataFrame(rows, schema)
+    stored = stored.withColumn("product_key", F.coalesce("product_key", resolve.fallback_key(stored)))
+    known = {r.id: r.product_key for r in stored.collect()}
+    new = [(1, "e1", "zeta", "M1", None, None), (2, None, "acme", "M1", "runner", "high"), (3, "e7", "acme", None, "runner", "high"), (4, None, "acme", None, "runner", "low"), (5, None, "other", "M1", None, None), (6, None, "acme", "M9", None, None)]
+    feed_ = spark.createDataFrame([(i, e, b, m, t, c, 2, "t") for i, e, b, m, t, c in new], "feed_pos long, ean string, brand string, extracted_model string, model_title string, model_match_confidence string, advertiser_id long, clean_title string")
+    got = {r.feed_pos: r._known for r in resolve.stored_keys(feed_, stored).collect()}
+    assert got == {1: "x", 2: known[2], 3: known[3], 4: None, 5: None, 6: None}
+
+
+def test_late_eans_move_variants(spark):
+    offers = spark.createDataFrame([(1, "k1", None), (2, "k1", None), (3, "ean:e2", "e2"), (4, "k4", None)], "id long, variant_key string, ean string")
+    found = spark.createDataFrame([("k1", "e1"), ("k4", "e2"), (None, "e5"), ("k4", None)], "variant_key string, ean string")
+    assert {(r.id, r.variant_key) for r in snapshot.with_late_eans(offers, found).collect()} == {(1, "ean:e1"), (2, "ean:e1"), (3, "ean:e2"), (4, "k4")}
+
+
+def test_flat_rows_of_a_run(spark):
+    flat = spark.createDataFrame([(1, 1, "now", 1), (2, 1, "old", 1), (3, 1, None, 1), (4, 2, "old", 1)], "id long, advertiser_id long, last_seen_run string, availability int")
+    out = snapshot.deactivate_flat(flat, flat.where("advertiser_id = 1"), "now")
+    assert {(r.id, r.availability) for r in out.collect()} == {(1, 1), (2, 0), (3, 0), (4, 1)}
+
+
 def test_resolution_against_replay(spark):
     def components(edges):
         rows = [(r.u, r.v) for r in edges.collect()]
@@ -238,6 +301,21 @@ def test_blocks_fail_alone(spark):
     assert [h for h, e in sorted(got.items()) if e] == ["h2", "h3"]
 
 
+def test_blocks_are_paced_and_billed(spark):
+    rows = spark.createDataFrame([(f"h{i}", f"t{i}", None) for i in range(5)], "content_hash string, source_title string, description string").repartition(4)
+    refused = []
+
+    def model(block):
+        if not refused:
+            refused.append(1)
+            raise ValueError("429: retry in 0s")
+        return {r["content_hash"]: {"brand": "x", "tokens_in": 3, "tokens_out": 1} for r in block}
+
+    got = enrich.run_model(rows, model, block=5, pacer=lambda: enrich.Pacer(0.0, wait=lambda s: None)).collect()
+    assert len(got) == 5 and all((r.error, dict(r.fields), r.tokens_in, r.tokens_out) == (None, {"brand": "x"}, 3, 1) for r in got)
+    assert enrich.pause_seconds("retry in 1.5 s") == 2.5 and enrich.pause_seconds("no") == 30.0
+
+
 def test_pacer_waits_and_repeats():
     now, waits, calls = [0.0], [], []
 
@@ -317,12 +395,18 @@ def test_streamed_feeds(spark, tmp_path):
     landing.mkdir()
     header = "advertiser_id,id,title,price,link,availability\n"
     (landing / "1.csv").write_text(header + "1,a,Felpa,10,u,in_stock\n1,b,Polo,5,u,in_stock\n")
-    offers = snapshot.Snapshot(spark, str(tmp_path / "offers"))
+    root = str(tmp_path / "catalog")
     schema = spark.createDataFrame([], ", ".join(f"{c} string" for c in header.strip().split(","))).schema
-    stream_feeds(spark, str(landing), schema, offers, str(tmp_path / "cp")).awaitTermination()
-    (landing / "2.csv").write_text(header + "1,a,Felpa,12,u,in_stock\n")
-    stream_feeds(spark, str(landing), schema, offers, str(tmp_path / "cp")).awaitTermination()
-    assert {r.source_product_id: r.price for r in offers.read().collect()} == {"a": 12.0, "b": 5.0}
+    days = iter(datetime(2024, 1, d) for d in range(1, 9))
+    run = lambda: stream_feeds(spark, str(landing), schema, root, str(tmp_path / "cp"), clock=lambda: next(days)).awaitTermination()
+    run()
+    (landing / "2.csv").write_text(header + "1,a,Felpa,12,u,in_stock\n1,b,Polo,5,u,out_of_stock\n")
+    run()
+    run()
+    catalog = Catalog(spark, root)
+    assert {r.source_product_id: (r.price, r.available) for r in catalog.offers.read().collect()} == {"a": (12.0, True), "b": (5.0, False)}
+    log = catalog.runs.read().orderBy("started_at").collect()
+    assert [(r.new, r.updated, r.sold_out, r.deactivated) for r in log] == [(2, 0, 0, 0), (0, 1, 1, 1)]
     src = tmp_path / "req"
     spark.createDataFrame([("k", datetime(2024, 1, 1, 0, 0, s)) for s in range(5)], "key string, at timestamp").coalesce(1).write.json(str(src))
     stream = limit_requests(spark.readStream.schema("key string, at timestamp").json(str(src)), "key", "at", limit=3, seconds=60)

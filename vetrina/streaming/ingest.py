@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,32 +12,21 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from vetrina.operators import identity
-from vetrina.operators.clean import clean_feed
-from vetrina.operators.snapshot import Snapshot, upsert
+from vetrina.operators import enrich
 from vetrina.operators.state import LIMIT, WINDOW_SECONDS
+from vetrina.operators.sync import sync
 
-_KEY = ["advertiser_id", "merchant_product_id"]
 
+def stream_feeds(spark: SparkSession, landing: str, schema: StructType, root: str, checkpoint: str, model: enrich.Model = enrich.stub, budget: int = 0, clock: Callable[[], datetime] = datetime.now) -> StreamingQuery:
+    """Import the feeds that lie in ``landing``, a file at a time, into the catalogue at ``root``, and stop.
 
-def import_batch(offers: Snapshot, rows: DataFrame) -> DataFrame:
-    """Clean, dedup, and merge a batch of feed rows into the offers snapshot; returns the new version.
-
-    Running the same batch again changes nothing but times, so a batch may be repeated after a failure.
+    Each file is a whole feed and is imported as ``sync`` does it: classified, enriched, guarded and logged. The
+    checkpoint remembers which files are done; a file that is imported again after a failure changes nothing but times.
     """
-    clean = identity.first_by(clean_feed(rows), _KEY, "feed_pos").drop("feed_pos")
-    old = offers.read()
-    keep = ["ean", "size", "brand", "product_type", "sottocategoria", "gender", "age_group", "color", "material", "model_title", "colorway_name", "model_match_confidence"]
-    return offers.replace(clean if old is None else upsert(old, clean, _KEY, keep_old=keep), cluster_by="advertiser_id")
-
-
-def stream_feeds(spark: SparkSession, landing: str, schema: StructType, offers: Snapshot, checkpoint: str, files: int = 1) -> StreamingQuery:
-    """Import what lies in ``landing`` and stop; the checkpoint remembers which files are done."""
-    rows = spark.readStream.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("maxFilesPerTrigger", files).csv(landing)
+    rows = spark.readStream.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("maxFilesPerTrigger", 1).csv(landing)
 
     def run(batch: DataFrame, _: int) -> None:
-        with offers.lock():
-            import_batch(offers, batch.withColumn("feed_pos", F.monotonically_increasing_id()))
+        sync(spark, batch.withColumn("feed_pos", F.monotonically_increasing_id()), root, clock(), model, budget)
 
     return rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -103,16 +103,16 @@ def sanitize(query: object, most: int = 500) -> str:
     return text
 
 
-def like(c: Column, value: str, wildcards: bool = False) -> Column:
-    """Substring without case. ``wildcards`` leaves ``%`` and ``_`` of the value their meaning."""
-    if not wildcards:
+def like(c: Column, value: str, escaped: bool = False) -> Column:
+    """Substring without case; ``%`` and ``_`` of the value are wildcards unless ``escaped``."""
+    if escaped:
         value = re.sub(r"([\\%_])", r"\\\1", value)
     return c.ilike(f"%{value}%")
 
 
-def predicate(f: Filters, wildcards: bool = False) -> Column:
+def predicate(f: Filters, escaped: bool = False) -> Column:
     """The conjunction of all filled filters over the search view; unavailable offers never pass."""
-    has = lambda c, v: like(F.col(c), v, wildcards)
+    has = lambda c, v: like(F.col(c), v, escaped)
     out: list[Column] = [F.col("availability") == 1]
     if f.gender:
         out.append(F.lower("gender") == f.gender.lower())
@@ -129,7 +129,7 @@ def predicate(f: Filters, wildcards: bool = False) -> Column:
             join = all_of if (logic or "AND").upper() == "AND" else any_of
             out.append(join([has(c, stem(x)) for x in values]))
     for word in f.unwanted:
-        out.append(~has("title", word) & ~like(F.coalesce("description", F.lit("")), word, wildcards))
+        out.append(~has("title", word) & ~like(F.coalesce("description", F.lit("")), word, escaped))
     anywhere = lambda v, columns: any_of([has(c, v) for c in columns])
     kind = ("product_type", "sottocategoria", "title")
     if f.product_types_list:
@@ -146,7 +146,7 @@ def predicate(f: Filters, wildcards: bool = False) -> Column:
     if f.excluded_material:
         out.append(~has("material", f.excluded_material) | F.col("material").isNull())
     if f.excluded_product_type:
-        out.append(~like(F.coalesce("product_type", F.lit("")), f.excluded_product_type, wildcards) & ~has("title", f.excluded_product_type))
+        out.append(~like(F.coalesce("product_type", F.lit("")), f.excluded_product_type, escaped) & ~has("title", f.excluded_product_type))
     if f.size and f.size.strip():
         wanted = f.size.strip().lower()
         out.append(F.exists(F.split(F.coalesce("size", F.lit("")), ","), lambda x: F.lower(F.trim(x)) == wanted))
@@ -166,9 +166,9 @@ def page_order(f: Filters) -> list[Column]:
     return [*first, F.col("id").asc()]
 
 
-def query_page(view: DataFrame, f: Filters, limit: int = 20, offset: int = 0, wildcards: bool = False) -> DataFrame:
+def query_page(view: DataFrame, f: Filters, limit: int = 20, offset: int = 0, escaped: bool = False) -> DataFrame:
     """A page of the view, with each row's ``position`` in it. The page is cut before anything is ranked."""
-    rows = view.where(predicate(f, wildcards)).orderBy(*page_order(f))
+    rows = view.where(predicate(f, escaped)).orderBy(*page_order(f))
     rows = (rows.offset(offset) if offset else rows).limit(limit)
     # The page has ``limit`` rows, so one partition numbers them.
     return rows.withColumn("position", F.row_number().over(Window.orderBy(*page_order(f))) - 1)
@@ -244,7 +244,7 @@ def search(view: DataFrame, f: Filters, manual: ManualFilters | None = None, ran
 
 
 def numbered(ranked: DataFrame, *order: Column) -> DataFrame:
-    """Results with their ``place`` from 1, for click parameters."""
+    """Results with their ``place`` from 1, for click parameters: a page's rows, or a facet's few values, in one window."""
     return ranked.withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 

@@ -10,9 +10,15 @@ from vetrina.operators.identity import cheapest_offer
 
 
 def refreshed(flat: DataFrame) -> DataFrame:
-    """Flat rows with title and search title derived anew from the source title."""
-    out = flat.withColumn("title", t.display_title(F.col("source_title"), F.col("brand")))
-    return out.withColumn("clean_title", t.clean_title(F.col("title")))
+    """Flat rows with title and search title derived anew from the source title, or the title where there is none.
+
+    Rows without either stay as they are.
+    """
+    source = F.coalesce(t.filled(F.trim("source_title")), t.filled(F.trim("title")))
+    out = flat.withColumn("_source", source).withColumn("_title", t.display_title(F.col("_source"), F.col("brand")))
+    have = F.col("_source").isNotNull()
+    made = {"title": F.col("_title"), "clean_title": t.clean_title(F.col("_title")), "source_title": F.col("_source")}
+    return out.withColumns({c: F.when(have, x).otherwise(F.col(c)) for c, x in made.items()}).select(*flat.columns)
 
 
 def with_brand(title: Column, brand: Column, once: bool = False) -> Column:

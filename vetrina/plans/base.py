@@ -123,20 +123,20 @@ PRODUCT_VIEW = f"""{PRODUCTS}, pview AS (
 
 
 def stored_offers(spark: SparkSession, d: str) -> DataFrame:
-    """The stored snapshot: orders before the last third, one row per (merchant, source id), some with an EAN."""
+    """The stored snapshot: what was shipped before its date, one row per (merchant, source id), some with an EAN."""
     from vetrina.functions.values import content_hash, operational_hash
     from vetrina.operators.identity import first_by
 
-    x = first_by(offers(spark, d).where(F.col("order_id") % 3 != 0), ["advertiser_id", "source_product_id"], "id")
+    x = first_by(offers(spark, d).where(F.col("seen_at") < F.expr(SNAPSHOT[1])), ["advertiser_id", "source_product_id"], "id")
     return x.select("id", "advertiser_id", "source_product_id", _ean().alias("ean"), "price", "sale_price", "available", content_hash((F.col("product_id") % 50).cast("string")).alias("content_hash"), operational_hash(F.col("price"), F.col("sale_price"), F.col("quantity")).alias("operational_hash"))
 
 
 def incoming_offers(spark: SparkSession, d: str) -> DataFrame:
-    """The next feed: all orders, some with other content, other prices, or without id."""
+    """The next feed: what was shipped from an earlier date on, some with other content, other prices, or without id."""
     from vetrina.functions.values import content_hash, operational_hash
     from vetrina.operators.identity import first_by
 
-    x = first_by(offers(spark, d).where(F.col("order_id") % 5 != 0), ["advertiser_id", "source_product_id"], "id")
+    x = first_by(offers(spark, d).where(F.col("seen_at") >= F.expr(SNAPSHOT[0])), ["advertiser_id", "source_product_id"], "id")
     price = F.when(F.col("quantity") % 7 == 0, F.col("price") + 1).otherwise(F.col("price")).cast("decimal(12,2)")
     content = F.when(F.col("quantity") % 11 == 0, F.lit("changed")).otherwise((F.col("product_id") % 50).cast("string"))
     return x.select("advertiser_id", F.when(F.col("line") == 1, F.concat(F.lit("new-"), "source_product_id")).otherwise(F.col("source_product_id")).alias("source_product_id"), _ean().alias("ean"), price.alias("price"), "sale_price", content_hash(content).alias("content_hash"), operational_hash(price, F.col("sale_price"), F.col("quantity")).alias("operational_hash"))
@@ -146,15 +146,18 @@ def _ean():
     return F.when(F.col("line") == 1, F.lpad((F.col("order_id") * 10 + F.col("line")).cast("string"), 13, "0"))
 
 
+#: From when the next feed has lines, and until when the stored snapshot has them.
+SNAPSHOT = ("timestamp '1996-06-01 00:00:00'", "timestamp '2000-06-01 00:00:00'")
+
 STORED = f"""{OFFERS}, stored AS (
   SELECT id, advertiser_id, source_product_id, CASE WHEN line = 1 THEN lpad(CAST(order_id * 10 + line AS VARCHAR), 13, '0') END AS ean, price, sale_price, available,
          sha256(concat_ws('|', '2026-10-05', CAST(product_id % 50 AS VARCHAR))) AS content_hash,
          sha256(concat_ws('|', CAST(price AS VARCHAR), coalesce(CAST(sale_price AS VARCHAR), ''), CAST(quantity AS VARCHAR))) AS operational_hash
-  FROM (SELECT * FROM offers WHERE order_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY advertiser_id, source_product_id ORDER BY id) = 1)),
+  FROM (SELECT * FROM offers WHERE seen_at < {SNAPSHOT[1]} QUALIFY row_number() OVER (PARTITION BY advertiser_id, source_product_id ORDER BY id) = 1)),
 incoming_raw AS (
   SELECT *, CAST(CASE WHEN quantity % 7 = 0 THEN price + 1 ELSE price END AS DECIMAL(12,2)) AS new_price,
          CASE WHEN quantity % 11 = 0 THEN 'changed' ELSE CAST(product_id % 50 AS VARCHAR) END AS content
-  FROM (SELECT * FROM offers WHERE order_id % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY advertiser_id, source_product_id ORDER BY id) = 1)),
+  FROM (SELECT * FROM offers WHERE seen_at >= {SNAPSHOT[0]} QUALIFY row_number() OVER (PARTITION BY advertiser_id, source_product_id ORDER BY id) = 1)),
 incoming AS (
   SELECT advertiser_id, CASE WHEN line = 1 THEN 'new-' || source_product_id ELSE source_product_id END AS source_product_id,
          CASE WHEN line = 1 THEN lpad(CAST(order_id * 10 + line AS VARCHAR), 13, '0') END AS ean, new_price AS price, sale_price,

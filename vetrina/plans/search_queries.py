@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vetrina.functions.values import size_order
 from vetrina.operators import search as s
 from vetrina.operators.search import Filters, predicate
 from vetrina.plans.base import OFFERS, PRODUCT_VIEW, VIEW, offers, product_view, query, table, view
@@ -24,27 +25,24 @@ ranked AS (
   SELECT id, position, score, CASE WHEN len(all_reasons) = 0 THEN 'corrisponde ai filtri applicati' ELSE array_to_string(all_reasons[1:3], ' | ') END AS reasons FROM scored)"""
 
 
-_FLAGSHIP = Filters(product_type="widget", color="red", color_logic="OR", max_price=60000.0, brand="brand#1")
+_FLAGSHIP = Filters(product_type="g", color="red, blue", color_logic="OR", max_price=60000.0, brand="brand#")
 
 
 @query(
     "search_ranked",
     f"""WITH {VIEW}, page AS (
   SELECT *, row_number() OVER (ORDER BY id) - 1 AS position FROM view_
-  WHERE availability = 1 AND brand ILIKE '%brand#1%' AND color ILIKE '%red%' AND (product_type ILIKE '%widget%' OR sottocategoria ILIKE '%widget%' OR title ILIKE '%widget%')
+  WHERE availability = 1 AND brand ILIKE '%brand#%' AND (color ILIKE '%red%' OR color ILIKE '%blu%') AND (product_type ILIKE '%g%' OR sottocategoria ILIKE '%g%' OR title ILIKE '%g%')
     AND CASE WHEN sale_price > 0 THEN sale_price ELSE price END <= 60000
   ORDER BY id LIMIT 30),
-{_rank_sql([("contains(replace(brand, '#', ' '), 'brand 1')", 30, "'marca ' || brand"), ("contains(concat_ws(' ', product_type, sottocategoria, title), 'widget')", 20, "'tipologia ' || product_type"), ("contains(color, 'red')", 15, "'colore ' || color")], "page")}
-SELECT id, score, reasons FROM ranked""",
+{_rank_sql([("contains(brand, 'brand')", 30, "'marca ' || brand"), ("contains(concat_ws(' ', product_type, sottocategoria, title), 'g')", 20, "'tipologia ' || product_type"), ("contains(color, 'red') OR contains(color, 'blue')", 15, "'colore ' || color")], "page")}
+SELECT id, score, reasons, row_number() OVER (ORDER BY score DESC, position) AS place FROM ranked""",
 )
 def search_ranked(spark, d):
-    return _flat(s.search(view(spark, d), _FLAGSHIP))
-
-
-@query("catalog_view", f"WITH {VIEW} SELECT id, title, brand, merchant, CAST(price AS DOUBLE) AS price, CAST(sale_price AS DOUBLE) AS sale_price, availability, n_name AS nation, condizione, source FROM view_ JOIN supplier ON s_suppkey = advertiser_id JOIN nation ON n_nationkey = s_nationkey")
-def catalog_view(spark, d):
-    origin = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("advertiser_id"), F.col("n_name").alias("nation"))
-    return view(spark, d).join(origin, "advertiser_id").select("id", "title", "brand", "merchant", F.col("price").cast("double").alias("price"), F.col("sale_price").cast("double").alias("sale_price"), "availability", "nation", "condizione", "source")
+    """A page, ranked, with the place of each result."""
+    found = s.search(view(spark, d), _FLAGSHIP)
+    placed = s.numbered(found, F.col("score").desc(), F.col("position"))
+    return placed.select("id", "score", F.concat_ws(" | ", "reasons").alias("reasons"), F.col("place").cast("long").alias("place"))
 
 
 _RED, _RING = Filters(color="red", gender="uomo"), Filters(sottocategoria="ring", color="red", color_logic="OR")
@@ -72,13 +70,26 @@ def _matching(filters: Filters):
     return lambda spark, d: product_view(spark, d).where(predicate(filters)).select("id", "title")
 
 
-query("search_color_and", _ids("color ILIKE '%red%' AND color ILIKE '%ed%'"))(_matching(Filters(color="red e ed")))
+@query("search_color_and", f"WITH {PRODUCT_VIEW}, two AS (SELECT * REPLACE (concat_ws(' e ', color, material) AS color) FROM pview) SELECT id, color FROM two WHERE availability = 1 AND color ILIKE '%red%' AND color ILIKE '%coton%'")
+def search_color_and(spark, d):
+    rows = product_view(spark, d).withColumn("color", F.concat_ws(" e ", "color", "material"))
+    return rows.where(predicate(Filters(color="red e cotone"))).select("id", "color")
+
+
 query("search_color_or", _ids("(color ILIKE '%red%' OR color ILIKE '%blu%')"))(_matching(Filters(color="red, blue", color_logic="or")))
 query("search_material_brand", _ids("brand ILIKE '%brand#2%' AND merchant ILIKE '%shop%' AND (material ILIKE '%cot%' OR material ILIKE '%lan%')").replace("%cot%", "%coton%"))(_matching(Filters(brand="brand#2", merchant="SHOP", material="cotone e lana", material_logic="OR")))
 query("search_exclude", _ids("NOT title ILIKE '%old%' AND NOT coalesce(description, '') ILIKE '%old%' AND (NOT color ILIKE '%red%' OR color IS NULL) AND (NOT material ILIKE '%lana%' OR material IS NULL) AND NOT coalesce(product_type, '') ILIKE '%promo%' AND NOT title ILIKE '%promo%'"))(_matching(Filters(unwanted=("old",), excluded_color="red", excluded_material="lana", excluded_product_type="promo")))
 query("search_exact_size", _ids("len(list_filter(string_split(coalesce(size, ''), ','), lambda x: lower(trim(x)) = '13.5')) > 0"))(_matching(Filters(size=" 13.5 ")))
 query("search_product_types", _ids("(product_type ILIKE '%promo%' OR sottocategoria ILIKE '%promo%' OR title ILIKE '%promo%' OR product_type ILIKE '%bolt%' OR sottocategoria ILIKE '%bolt%' OR title ILIKE '%bolt%') AND lower(age_group) = 'adulto' AND lower(condizione) = 'nuovo'"))(_matching(Filters(product_types_list=("promo", "bolt"), product_type="ignored", age_group="Adulti", condizione="Nuovo")))
-query("search_wildcard_escaped", _ids("title LIKE '%never%'"))(_matching(Filters(search_keywords="%_%")))
+query("search_wildcards", _ids("(title ILIKE '%w_dget%' OR description ILIKE '%w_dget%' OR product_type ILIKE '%w_dget%' OR sottocategoria ILIKE '%w_dget%' OR title ILIKE '%b%lt%' OR description ILIKE '%b%lt%' OR product_type ILIKE '%b%lt%' OR sottocategoria ILIKE '%b%lt%')"))(_matching(Filters(search_keywords="w_dget b%lt")))
+
+
+@query("search_wildcard_escaped", f"WITH {PRODUCT_VIEW} SELECT id FROM pview WHERE availability = 1 AND product_id % 3 = 1")
+def search_wildcard_escaped(spark, d):
+    """Titles with the signs themselves, with one of them, and with neither."""
+    key = F.col("product_id") % 3
+    rows = product_view(spark, d).withColumn("title", F.concat("title", F.when(key == 0, " 100%").when(key == 1, " 100%_a").otherwise(" 100 a")))
+    return rows.where(predicate(Filters(search_keywords="%_"), escaped=True)).select("id")
 
 
 @query("search_price_band", f"WITH {OFFERS} SELECT id, CAST(CASE WHEN sale_price > 0 THEN sale_price ELSE price END AS DOUBLE) AS effective FROM offers WHERE available AND CASE WHEN sale_price > 0 THEN sale_price ELSE price END BETWEEN 1000 AND 20000")
@@ -123,14 +134,23 @@ def facet_merchants(spark, d):
     return s.merchants(view(spark, d))
 
 
-@query("facet_sizes", f"WITH {PRODUCT_VIEW} SELECT DISTINCT trim(x) AS size FROM (SELECT unnest(string_split(size, ',')) AS x FROM pview WHERE availability = 1 AND size IS NOT NULL) WHERE trim(x) <> ''")
+@query(
+    "facet_sizes",
+    f"""WITH {PRODUCT_VIEW}, found AS (SELECT DISTINCT trim(x) AS size FROM (SELECT unnest(string_split(CASE WHEN product_id % 9 = 0 THEN 'XL' WHEN product_id % 9 = 1 THEN 'taglia unica' ELSE size END, ',')) AS x FROM pview WHERE availability = 1) WHERE trim(x) <> '')
+SELECT size, row_number() OVER (ORDER BY CASE WHEN size = 'XL' THEN 6 ELSE 99 END, try_cast(nullif(regexp_extract(size, '^[0-9.]+'), '') AS DOUBLE) NULLS LAST, size) AS place FROM found""",
+)
 def facet_sizes(spark, d):
-    return s.sizes(product_view(spark, d))
+    """Distinct sizes, letters first, then numbers, then words, with their place."""
+    key = F.col("product_id") % 9
+    rows = product_view(spark, d).withColumn("size", F.when(key == 0, "XL").when(key == 1, "taglia unica").otherwise(F.col("size")))
+    found = s.sizes(rows)
+    return s.numbered(found, *size_order(F.col("size"))).select("size", F.col("place").cast("long").alias("place"))
 
 
-@query("health_counts", f"WITH {OFFERS} SELECT count(*) FILTER (WHERE available) AS available, count(*) AS total, count(DISTINCT advertiser_id) AS merchants FROM offers")
+@query("health_counts", f"WITH {OFFERS} SELECT count(*) FILTER (WHERE available) AS n FROM offers")
 def health_counts(spark, d):
-    return offers(spark, d).agg(F.count_if("available").alias("available"), F.count("*").alias("total"), F.countDistinct("advertiser_id").alias("merchants"))
+    rows = offers(spark, d).withColumn("availability", F.when(F.col("available"), 1).otherwise(0))
+    return s.available_count(rows)
 
 
 @query("cart_totals", f"WITH {PRODUCT_VIEW} SELECT CASE WHEN id % 2 = 0 THEN 'EUR' ELSE 'GBP' END AS currency, CAST(sum(CASE WHEN sale_price > 0 AND sale_price < price THEN sale_price ELSE price END) AS DOUBLE) AS total, count(*) AS items FROM pview GROUP BY 1")

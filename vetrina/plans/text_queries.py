@@ -148,7 +148,7 @@ def family_title(spark, d):
 def discount_pct(spark, d):
     price, sale = v.price_pair(F.col("price"), F.col("sale_price"))
     rows = offers(spark, d).withColumns({"_p": price, "_s": sale}).where("_s is not null")
-    return rows.select("id", F.col("_p").cast("double").alias("price"), F.col("_s").cast("double").alias("sale_price"), F.round((F.col("_p") - F.col("_s")).cast("double") / F.col("_p").cast("double") * 100, 2).alias("percent"), v.card_discount(F.col("_p").cast("double"), F.col("_s").cast("double")).alias("card"))
+    return rows.select("id", F.col("_p").cast("double").alias("price"), F.col("_s").cast("double").alias("sale_price"), v.discount_percent(F.col("_p").cast("double"), F.col("_s").cast("double")).alias("percent"), v.card_discount(F.col("_p").cast("double"), F.col("_s").cast("double")).alias("card"))
 
 
 @query("availability_flag", f"WITH {OFFERS} SELECT id, CASE flag WHEN 'A' THEN TRUE WHEN 'N' THEN status = 'O' ELSE FALSE END AS available FROM offers")

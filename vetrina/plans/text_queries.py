@@ -26,16 +26,30 @@ def normalize_text(spark, d):
     return table(spark, d, "documents").select("doc_id", t.normalized_text(F.col("text")).alias("normalized"))
 
 
-_TITLE = "p_name || ' ' || p_size || ' GB, ' || (p_partkey % 9) || ',5 cm - In offerta ' || p_type || ' novità Best-Seller'"
+def _clean_sql(x: str) -> str:
+    """The search title in SQL: units joined to their numbers, marketing phrases out, ASCII letters and digits."""
+    phrases = "|".join(sorted((p.replace("-", r"\-") for p in vocab.MARKETING_PHRASES), key=len, reverse=True))
+    joined = rf"regexp_replace({_norm(x)}, '\b(\d+)(?:[.,](\d+))?\s*[- ]?\s*({'|'.join(vocab.UNITS)})\b', '\1' || chr(1) || '\2\3', 'g')"
+    points = rf"replace(regexp_replace({joined}, chr(1) || '(\d)', '.\1', 'g'), chr(1), '')"
+    return rf"nullif(trim(regexp_replace(regexp_replace(regexp_replace({points}, '\b(?:{phrases})\b', ' ', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')), '')"
 
 
-def _title():
-    return F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit(" GB, "), (F.col("p_partkey") % 9).cast("string"), F.lit(",5 cm - In offerta "), "p_type", F.lit(" novità Best-Seller"))
+_TITLES = """titles AS (
+  SELECT p_partkey, p_name || [' ' || p_size || ' GB, ', ' - ' || p_size || '.5kg ', ' ram' || p_size || ' mah', ' In  Offerta ' , ' novità/Best-Seller ', ' promozione ' || p_size || 'inch'][p_partkey % 6 + 1] || (p_partkey % 9) || ',5 cm - ' || p_type || CASE WHEN p_size % 2 = 0 THEN ' Spedizione Gratuita!' ELSE ' garanzia italiana' END AS title
+  FROM part)"""
 
 
-@query("clean_title", f"SELECT p_partkey, trim(regexp_replace(lower(p_name) || ' ' || p_size || 'gb ' || (p_partkey % 9) || ' 5cm ' || replace(lower(p_type), 'promo', ''), '\\s+', ' ', 'g')) AS clean FROM part")
+def _titles(spark, d):
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey")
+    forms = [F.concat(F.lit(" "), size, F.lit(" GB, ")), F.concat(F.lit(" - "), size, F.lit(".5kg ")), F.concat(F.lit(" ram"), size, F.lit(" mah")), F.lit(" In  Offerta "), F.lit(" novità/Best-Seller "), F.concat(F.lit(" promozione "), size, F.lit("inch"))]
+    ending = F.when(F.col("p_size") % 2 == 0, " Spedizione Gratuita!").otherwise(" garanzia italiana")
+    title = F.concat("p_name", F.element_at(F.array(*forms), (key % 6 + 1).cast("int")), (key % 9).cast("string"), F.lit(",5 cm - "), "p_type", ending)
+    return table(spark, d, "part").select("p_partkey", title.alias("title"))
+
+
+@query("clean_title", f"WITH {_TITLES} SELECT p_partkey, {_clean_sql('title')} AS clean FROM titles")
 def clean_title(spark, d):
-    return table(spark, d, "part").select("p_partkey", t.clean_title(_title()).alias("clean"))
+    return _titles(spark, d).select("p_partkey", t.clean_title(F.col("title")).alias("clean"))
 
 
 @query("display_text", r"SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(nfc_normalize(text), '\p{C}', ' ', 'g'), '\s+', ' ', 'g')), '') AS shown FROM documents")
@@ -80,29 +94,83 @@ def ean_mpn_valid(spark, d):
     return table(spark, d, "customer").select("c_custkey", v.valid_ean(ean).alias("ean"), v.valid_mpn(mpn).alias("mpn"))
 
 
-@query("model_extract", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'MPN' || c_custkey ELSE CASE WHEN length('x' || c_custkey || '-pro') >= 6 THEN upper('x' || c_custkey || '-pro') END END AS model FROM customer")
+_MODELS = """texts AS (
+  SELECT c_custkey, ['Giacca 1234567 abcdef x' || c_custkey || '-pro nera', '-ab' || c_custkey || '- ' || c_name, 'nuovo ' || c_mktsegment || ' ' || c_name || '/v2x', 'x_' || c_custkey || ' A1' || c_custkey, 'senza modello', 'ZX-' || c_custkey || 'é qq' || c_custkey][c_custkey % 6 + 1] AS title,
+         CASE WHEN c_custkey % 5 = 0 THEN 'MPN' || c_custkey END AS mpn
+  FROM customer)"""
+
+
+@query(
+    "model_extract",
+    f"WITH {_MODELS}, words AS (SELECT *, list_transform(regexp_extract_all(title, '[\\pL\\pN_-]+'), lambda w: trim(w, '-')) AS w FROM texts) "
+    "SELECT c_custkey, coalesce(mpn, upper(list_filter(w, lambda x: length(x) >= 6 AND regexp_full_match(x, '[A-Za-z0-9-]+') AND regexp_matches(x, '[A-Za-z]') AND regexp_matches(x, '[0-9]'))[1])) AS model FROM words",
+)
 def model_extract(spark, d):
     key = F.col("c_custkey").cast("string")
-    title = F.concat(F.lit("Giacca uomo 1234567 abcdef x"), key, F.lit("-pro nera"))
+    forms = [F.concat(F.lit("Giacca 1234567 abcdef x"), key, F.lit("-pro nera")), F.concat(F.lit("-ab"), key, F.lit("- "), "c_name"), F.concat(F.lit("nuovo "), "c_mktsegment", F.lit(" "), "c_name", F.lit("/v2x")), F.concat(F.lit("x_"), key, F.lit(" A1"), key), F.lit("senza modello"), F.concat(F.lit("ZX-"), key, F.lit("é qq"), key)]
+    title = F.element_at(F.array(*forms), (F.col("c_custkey") % 6 + 1).cast("int"))
     return table(spark, d, "customer").select("c_custkey", v.extracted_model(title, F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("MPN"), key))).alias("model"))
 
 
-@query(
-    "size_normalize",
-    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'taglia unica' WHEN 1 THEN p_size || '.5, m' WHEN 2 THEN concat_ws(', ', p_size, CASE WHEN p_size <> 38 THEN '38' END, 'xl')
-  ELSE concat_ws(', ', 's', CASE WHEN p_size = 1 THEN 'l' ELSE 'l' END) END AS size FROM part""",
-)
+def _size_sql(x: str) -> str:
+    """Sizes as a list without repeats, in SQL."""
+    raw = rf"replace(regexp_replace({x}, '(\d),(\d)', '\1.\2', 'g'), ',', '/')"
+    one = "|".join(w.replace(" ", r"\s+") for w in vocab.SIZE_ONE_ALIASES)
+    text = rf"regexp_replace(regexp_replace({_norm(raw)}, '\b(?:{one})\b', 'taglia unica', 'g'), '\b(?:it|eu)\s*', '', 'g')"
+    parts = f"list_filter(list_transform(string_split({text}, '/'), lambda y: trim(y)), lambda y: y <> '')"
+    return f"(SELECT nullif(array_to_string(list_filter(l, lambda y, i: list_position(l, y) = i), ', '), '') FROM (SELECT {parts} AS l))"
+
+
+_SIZES = """sizes AS (
+  SELECT p_partkey, p_name, p_size, ['One  Size', 'EU ' || p_size || ',5, M', 'IT ' || p_size || ' / 38 / XL /' || p_size, 'S, L, S', ' ', 'TU/uni', 'w' || p_size || ' L34 ; ' || p_size][p_partkey % 7 + 1] AS raw,
+         [' - ' || p_size, ' Taglia: XL / ' || p_size, ' ' || p_size || 'xl', ' size m,EU ' || p_size || '.5 blu', ' misura - w' || p_size || 'l32', ' S ' || p_size, ' uk ' || p_size][p_partkey % 7 + 1] AS ending
+  FROM part)"""
+
+
+def _sizes(spark, d):
+    n = F.col("p_size").cast("string")
+    at = (F.col("p_partkey") % 7 + 1).cast("int")
+    raw = [F.lit("One  Size"), F.concat(F.lit("EU "), n, F.lit(",5, M")), F.concat(F.lit("IT "), n, F.lit(" / 38 / XL /"), n), F.lit("S, L, S"), F.lit(" "), F.lit("TU/uni"), F.concat(F.lit("w"), n, F.lit(" L34 ; "), n)]
+    ending = [F.concat(F.lit(" - "), n), F.concat(F.lit(" Taglia: XL / "), n), F.concat(F.lit(" "), n, F.lit("xl")), F.concat(F.lit(" size m,EU "), n, F.lit(".5 blu")), F.concat(F.lit(" misura - w"), n, F.lit("l32")), F.concat(F.lit(" S "), n), F.concat(F.lit(" uk "), n)]
+    return table(spark, d, "part").select("p_partkey", F.element_at(F.array(*raw), at).alias("raw"), F.concat("p_name", F.element_at(F.array(*ending), at)).alias("title"))
+
+
+@query("size_normalize", f"WITH {_SIZES} SELECT p_partkey, {_size_sql('raw')} AS size FROM sizes")
 def size_normalize(spark, d):
-    n, k = F.col("p_size").cast("string"), F.col("p_partkey") % 4
-    raw = F.when(k == 0, F.lit("One  Size")).when(k == 1, F.concat(F.lit("EU "), n, F.lit(",5, M"))).when(k == 2, F.concat(F.lit("IT "), n, F.lit(" / 38 / XL /"), n)).otherwise(F.lit("S, L, S"))
-    return table(spark, d, "part").select("p_partkey", t.normalized_size(raw).alias("size"))
+    return _sizes(spark, d).select("p_partkey", t.normalized_size(F.col("raw")).alias("size"))
+
+
+def _one_size(x: str) -> str:
+    """Whether a text is a size, in SQL, by numbers and words instead of one pattern."""
+    letters = [*vocab.SIZE_LETTERS, *(f"{n}xl" for n in range(2, vocab.SIZE_LARGEST_XL + 1)), *vocab.SIZE_WORDS]
+    number = lambda y: rf"try_cast(regexp_extract({y}, '^(\d+)([.,]\d+)?$', 1) AS INTEGER)"
+    plain = f"list_contains({letters}, {x}) OR length(regexp_extract({x}, '^(\\d+)', 1)) = 2 AND {number(x)} BETWEEN {vocab.SIZE_NUMBERS[0]} AND {vocab.SIZE_NUMBERS[1]}"
+    regions = " OR ".join(f"starts_with({x}, '{r}') AND {number(f'trim({x}[3:])')} BETWEEN {a} AND {b}" for r, (a, b) in vocab.SIZE_REGIONS.items())
+    return rf"({plain} OR {regions} OR regexp_full_match({x}, 'w\s*\d\d\s*l\s*\d\d'))"
+
+
+_LABELLED = r"lower(regexp_extract(title, '(?i)(?:taglia|size|misura)\s*[:\-]?\s*(.*)$', 1))"
 
 
-@query("size_extract", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '42' WHEN 1 THEN 'xl' END AS size, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name ELSE p_name || ' 7' END AS rest FROM part")
+@query(
+    "size_extract",
+    f"""WITH {_SIZES}, titles AS (SELECT p_partkey, p_name || ending AS title, p_partkey % 7 AS k FROM sizes),
+tokens AS (SELECT *, {_LABELLED} AS tail, lower(string_split(title, ' ')[-1]) AS last, lower(array_to_string(string_split(title, ' ')[-2:], ' ')) AS last_two FROM titles),
+labelled AS (SELECT *, list_transform(string_split(replace(replace(tail, ',', '/'), ' blu', ''), '/'), lambda y: trim(y)) AS parts FROM tokens),
+picked AS (SELECT *, CASE WHEN tail <> '' THEN array_to_string(CASE WHEN {_one_size("parts[1]")} THEN CASE WHEN len(parts) > 1 AND {_one_size("parts[2]")} THEN parts[:2] ELSE parts[:1] END END, '/')
+    WHEN {_one_size("last_two")} THEN last_two WHEN {_one_size("last")} THEN last END AS found FROM labelled)
+SELECT p_partkey, {_size_sql("found")} AS size FROM picked""",
+)
 def size_extract(spark, d):
-    k = F.col("p_partkey") % 3
-    title = F.concat("p_name", F.when(k == 0, " - 42").when(k == 1, " Taglia: XL").otherwise(" 7"))
-    return table(spark, d, "part").select("p_partkey", t.extracted_size(title).alias("size"), t.without_size(title).alias("rest"))
+    return _sizes(spark, d).select("p_partkey", t.extracted_size(F.col("title")).alias("size"))
+
+
+@query("size_strip", "WITH endings AS (SELECT p_partkey, p_name, p_partkey % 3 AS k, 30 + p_size % 30 AS n FROM part) SELECT p_partkey, CASE k WHEN 2 THEN p_name || ' ' || n || ' x' ELSE p_name END AS rest FROM endings")
+def size_strip(spark, d):
+    """Sizes at the end, labelled ones, and numbers inside, which stay."""
+    k, n = F.col("p_partkey") % 3, (30 + F.col("p_size") % 30).cast("string")
+    title = F.concat("p_name", F.when(k == 0, F.concat(F.lit(" - "), n)).when(k == 1, F.concat(F.lit(" Taglia: XL/"), n)).otherwise(F.concat(F.lit(" "), n, F.lit(" x"))))
+    return table(spark, d, "part").select("p_partkey", t.without_size(title).alias("rest"))
 
 
 @query(
@@ -128,15 +196,22 @@ def display_title(spark, d):
     return table(spark, d, "part").select("p_partkey", t.display_title(title, brand).alias("shown"))
 
 
+_ISSUE_TERMS = sorted({x for rules in (vocab.COLOR_RULES, vocab.MATERIAL_RULES, vocab.GENDER_RULES, vocab.AGE_GROUP_RULES) for _, *terms in rules for x in terms if len(x) > 2} | set(vocab.TITLE_ATTRIBUTE_WORDS))
+
+
 @query(
     "title_issues",
-    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'titolo_vuoto' WHEN 1 THEN concat_ws(' | ', 'connettivo_finale', CASE WHEN p_name LIKE 'red %' OR p_name LIKE 'blue %' THEN 'attributo_nel_titolo' END, 'preposizione_finale')
-  WHEN 2 THEN 'attributo_nel_titolo' ELSE concat_ws(' | ', 'connettivo_finale', CASE WHEN p_name LIKE 'red %' OR p_name LIKE 'blue %' THEN 'attributo_nel_titolo' END) END AS issues FROM part""",
+    f"""WITH rows_ AS (SELECT p_partkey, p_name || [' con', ' mesh', ' and', ' Uomo', ' multi colour', ' x-in', '.', ' taupés'][p_partkey % 8 + 1] AS raw FROM part UNION ALL SELECT -s_suppkey, ' ' FROM supplier),
+texts AS (SELECT p_partkey, coalesce({_norm("raw")}, '') AS t FROM rows_)
+SELECT p_partkey, CASE WHEN t = '' THEN 'titolo_vuoto' ELSE concat_ws(' | ', CASE WHEN list_contains({vocab.TITLE_TRAILING_WORDS}, string_split(t, ' ')[-1]) THEN 'connettivo_finale' END,
+  CASE WHEN {" OR ".join(f"contains(' ' || t || ' ', ' {x} ')" for x in _ISSUE_TERMS)} THEN 'attributo_nel_titolo' END,
+  CASE WHEN regexp_matches(t, '\\b(?:{"|".join(vocab.TITLE_LINKS)})$') THEN 'preposizione_finale' END) END AS issues FROM texts""",
 )
 def title_issues(spark, d):
-    k = F.col("p_partkey") % 4
-    title = F.when(k == 0, F.lit("  ")).when(k == 1, F.concat("p_name", F.lit(" con"))).when(k == 2, F.concat("p_name", F.lit(" mesh"))).when(k == 3, F.concat("p_name", F.lit(" and")))
-    return table(spark, d, "part").select("p_partkey", F.concat_ws(" | ", t.title_issues(title)).alias("issues"))
+    forms = F.array(*map(F.lit, [" con", " mesh", " and", " Uomo", " multi colour", " x-in", ".", " taupés"]))
+    titles = table(spark, d, "part").select("p_partkey", F.concat("p_name", F.element_at(forms, (F.col("p_partkey") % 8 + 1).cast("int"))).alias("raw"))
+    empty = table(spark, d, "supplier").select((-F.col("s_suppkey")).alias("p_partkey"), F.lit(" ").alias("raw"))
+    return titles.unionByName(empty).select("p_partkey", F.concat_ws(" | ", t.title_issues(F.col("raw"))).alias("issues"))
 
 
 @query("family_title", "SELECT p_partkey, trim(regexp_replace(CASE WHEN p_size BETWEEN 30 AND 50 THEN p_name ELSE p_name || ' ' || p_size END, '\\s+', ' ', 'g')) AS family FROM part".replace("BETWEEN 30 AND 50", "BETWEEN 30 AND 59"))

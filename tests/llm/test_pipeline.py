@@ -30,6 +30,21 @@ def test_stages_read_what_the_one_before_kept(spark):
     assert max(room.values()) <= 4096
 
 
+def test_stages_on_odd_tables(spark, docs, monkeypatch):
+    """No rows at all; null ids and texts, repeated rows, long texts and columns named like those of the stages."""
+    prose = " ".join(f"w{i}" for i in range(300))
+    odd = [(None, prose), (3, prose), (3, prose), (4, None), (5, ""), (6, " \n"), (7, "x" * 200_000), (8, prose.upper()), (None, None)]
+    for rows in ([], odd):
+        table = docs(rows, extra="_key0").withColumnsRenamed({"lang": "digest", "source": "_score"}).withColumn("c0", cp.F.lit(1))
+        columns = table.columns
+        for name, stage in cp.STAGES[:-1]:
+            table = common.materialize(stage(spark, table, SF), "test")
+            assert table.columns == columns, name
+        packed = cp.STAGES[-1][1](spark, table, SF).collect()
+        assert len({(r.doc_id, r.piece) for r in packed}) == len(packed) and all(len(r.ids) == r.length for r in packed)
+        assert len({r.doc_id for r in packed}) == len({r.doc_id for r in table.select("doc_id").collect()}) == table.count()
+
+
 def test_run_is_the_stages_in_order(spark):
     assert [n for n, _ in cp.STAGES] == ["quality classifier", "exact dedup", "simhash near-dedup", "suffix-array dedup", "best-fit packing"]
     assert cp.run(spark, SF).count() > 0

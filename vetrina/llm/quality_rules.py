@@ -33,6 +33,8 @@ MARGIN = 0.25
 MIN_WORDS, REPEAT_WORDS, MAX_REPEAT_PERCENT = 10, 5, 20
 #: Bits of the map of trusted ids: 8 MB, whatever the number of labels.
 BITS = 1 << 26
+#: Bytes of trusted texts that one task counts, about, so that counts are added up before they are dealt.
+COUNTED = 32 << 20
 #: Bytes that are taken together, few enough that their arrays stay in cache.
 CHUNK = 256 << 10
 _SYMBOLS = b"#*$%&|<>"
@@ -165,7 +167,9 @@ def threshold(target: np.ndarray, ratio: np.ndarray) -> float:
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, the base counts, base_failed, ratio, kept."""
     raw = _by_bucket(gram_counts(docs.select(common.text_bytes().alias("text"))))
-    target = _by_bucket(gram_counts(_trusted(docs, labels)))
+    share = labels.where("quality = 1").count() / max(1, docs.count())
+    parts = 1 + int(min(1.0, share) * raw.sum() / COUNTED)
+    target = _by_bucket(gram_counts(_trusted(docs, labels).coalesce(parts)))
     ratio = log_ratio(target, raw)
     least = threshold(target, ratio)
 

@@ -87,8 +87,23 @@ def normalized_text(c: Column, folded: bool = False) -> Column:
 
 
 def _any(terms: Iterable[str]) -> str:
-    """One alternation; longer terms first, so that a phrase is not cut by a word of it."""
-    return "|".join(re.sub(r"([^\w\s])", r"\\\1", t) for t in sorted(set(terms), key=lambda t: (-len(t), t)))
+    """A pattern of all terms, the longest that fits first. Terms share their beginnings, so that few are tried at a place."""
+    tree: dict[str, dict] = {}
+    for term in terms:
+        node = tree
+        for sign in term:
+            node = node.setdefault(sign, {})
+        node[""] = {}
+
+    def pattern(node: dict[str, dict]) -> str:
+        parts = [re.sub(r"([^\w\s])", r"\\\1", sign) + pattern(below) for sign, below in sorted(node.items()) if sign]
+        if not parts:
+            return ""
+        if len(parts) == 1 and "" not in node:
+            return parts[0]
+        return f"(?:{'|'.join(parts)})" + ("?" if "" in node else "")
+
+    return pattern(tree)
 
 
 def clean_title(c: Column, folded: bool = False) -> Column:

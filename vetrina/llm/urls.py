@@ -86,7 +86,8 @@ def suffix_statistics(labelled: DataFrame) -> DataFrame:
 
 
 class UrlModel:
-    """Trees, or the one label there was, and the suffix statistics, which are written and joined, not broadcast."""
+    """Trees, or the one label there was, and the suffix statistics, which are written and joined, broadcast only below
+    Spark's own bound of size."""
 
     def __init__(self, labelled: DataFrame):
         labelled = common.materialize(with_features(labelled), "urls-labelled")

@@ -236,7 +236,7 @@ def _view(spark):
         (Filters(search_keywords="calda, scarpa"), {1, 3}),
         (Filters(age_group="Kids"), set()),
         (Filters(age_group="marziano"), {1, 2, 3}),
-        (Filters(brand="%"), set()),
+        (Filters(brand="%"), {1, 2}),
         (Filters(excluded_product_type="scarpe"), {1, 2}),
     ],
 )
@@ -244,6 +244,11 @@ def test_filters(spark, filters, ids):
     assert {r.id for r in _view(spark).where(search.predicate(filters)).collect()} == ids
 
 
+def test_escaped_filters_take_wildcards_as_signs(spark):
+    rows = _view(spark)
+    assert [rows.where(search.predicate(Filters(brand="%"), escaped=True)).count(), rows.where(search.predicate(Filters(brand="ni_e"))).count(), rows.where(search.predicate(Filters(brand="ni_e"), escaped=True)).count()] == [0, 2, 0]
+
+
 def test_search_limits_then_ranks(spark):
     f = Filters(brand="nike", sottocategoria="felpe", search_keywords="felpa calda")
     got = search.rank(search.query_page(_view(spark), Filters()), f).collect()

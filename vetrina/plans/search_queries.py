@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from vetrina.functions.values import size_order
 from vetrina.operators import search as s
-from vetrina.operators.search import Filters, predicate
+from vetrina.operators.requests import respond
+from vetrina.operators.search import Filters, ManualFilters, predicate
 from vetrina.plans.base import OFFERS, PRODUCT_VIEW, VIEW, offers, product_view, query, table, view
 
 
@@ -160,3 +161,24 @@ def cart_totals(spark, d):
     return totals(product_view(spark, d).withColumn("currency", F.when(F.col("id") % 2 == 0, "EUR").otherwise("GBP"))).withColumn("total", F.col("total").cast("double"))
 
 
+@query("search_overlay", _ids("lower(gender) = 'donna' AND merchant ILIKE '%shop 2%' AND len(list_filter(string_split(coalesce(size, ''), ','), lambda x: lower(trim(x)) = '10')) > 0 AND color ILIKE '%red%'") + " UNION ALL " + f"SELECT id, title FROM ({_ids('lower(gender) = chr(117) || chr(111) || chr(109) || chr(111)')})")
+def search_overlay(spark, d):
+    """Manual choices replace extracted ones; values that mean no choice leave them."""
+    chosen = s.overlay(Filters(gender="uomo", merchant="shop 1", color="red"), ManualFilters(merchant="Shop 2", gender="Donna", size="10", max_price=250))
+    kept = s.overlay(Filters(gender="uomo"), ManualFilters())
+    rows = product_view(spark, d)
+    return rows.where(predicate(chosen)).unionByName(rows.where(predicate(kept))).select("id", "title")
+
+
+@query(
+    "search_respond",
+    f"""WITH {PRODUCT_VIEW}, page AS (SELECT *, row_number() OVER (ORDER BY coalesce(sale_price, price) DESC, id) - 1 AS position FROM pview
+  WHERE availability = 1 AND CASE WHEN sale_price > 0 THEN sale_price ELSE price END <= 240 + 900 AND (material ILIKE '%lan%' AND material IS NOT NULL) ORDER BY coalesce(sale_price, price) DESC, id LIMIT 30)
+SELECT id, 10 AS score, 'materiale lana' AS reasons, position + 1 AS place FROM page""",
+)
+def search_respond(spark, d):
+    """A request as it comes in: its body, what a model made of its text, and the ranked page."""
+    view_ = product_view(spark, d).withColumns({c: F.col(c) - 900 for c in ("price", "sale_price")})
+    found = respond(view_, {"query": " lana cara ", "filters": {"maxPrice": 240}}, lambda q: {"material": "lana", "sort_by": "price_desc", "unknown": 1} if q == "lana cara" else None)
+    placed = s.numbered(found, F.col("score").desc(), F.col("position"))
+    return placed.select("id", "score", F.concat_ws(" | ", "reasons").alias("reasons"), F.col("place").cast("long").alias("place"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vetrina.functions.text import without_code_fence, without_controls
-from vetrina.operators import clean, enrich, state, titles
+from vetrina.operators import assets, clean, enrich, requests, state, titles
 from vetrina.plans.base import OFFERS, PRODUCTS, offers, products, query, table
 from vetrina.sources import runs
 
@@ -169,3 +169,32 @@ def title_review_apply(spark, d):
 @query("code_fence", "SELECT event_id, '[' || event_id || ']' AS body FROM events")
 def code_fence(spark, d):
     return table(spark, d, "events").select("event_id", without_code_fence(F.concat(F.lit(" ```JSON\n["), F.col("event_id").cast("string"), F.lit("]\n``` "))).alias("body"))
+
+
+@query("link_build", "SELECT page_id AS id, CASE WHEN contains(url, 'http') THEN 'new:' || url ELSE 'plain' END AS link FROM pages WHERE page_id % 3 <> 0 UNION ALL SELECT page_id, 'kept' FROM pages WHERE page_id % 3 = 0")
+def link_build(spark, d):
+    """Fresh links come from the cache, others are built, and where that fails the plain link stays."""
+    key = F.col("page_id").cast("string")
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("merchant_deep_link"), F.lit("plain").alias("aw_deep_link"), key.alias("page"))
+    old = F.expr("timestamp '2023-12-01 00:00:00'")
+    cache = pages.where("id % 3 < 2").select(F.col("page").alias("key"), F.lit("kept").alias("link"), F.when(F.col("id") % 3 == 0, _now()).otherwise(old).alias("created_at"))
+
+    def build(url):
+        if "http" not in url:
+            raise ValueError(url)
+        return f"new:{url}"
+
+    return requests.with_links(pages, cache, build, _now(), F.col("page"))[0].select("id", "link")
+
+
+@query("image_fetch", "SELECT page_id AS id, CASE WHEN length(url) % 2 = 0 THEN strlen(url) END AS bytes, CASE WHEN length(url) % 2 = 1 THEN 'no picture' END AS error FROM pages")
+def image_fetch(spark, d):
+    """A fetcher that fails for some links: each failure stays with its row."""
+
+    def fetch(link):
+        if len(link) % 2:
+            raise OSError("no picture")
+        return link.encode()
+
+    rows = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("image_link"))
+    return assets.fetched(rows, fetch).select("id", F.octet_length("content").cast("long").alias("bytes"), "error")

@@ -36,7 +36,7 @@ from vetrina.llm import common
 #: Chunks that a worker remembers in each of two generations, at most.
 MEMORY = 300_000
 #: Characters of text that are encoded together.
-PORTION = 1 << 22
+PORTION = 1 << 20
 #: The library's white space is Unicode's; ``str.split`` also splits at these four.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Outside the long-settled letters and signs; only there may a code point be too new for Python.

@@ -41,19 +41,24 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = bpe.tokenizer(path)
         for batch in batches:
-            rows: list[tuple] = []
-            tokens = []
-            encoded = (x for part in bpe.portions(batch.column("text").to_pylist()) for x in tokenizer.encode_many(part))
-            for doc_id, own in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
-                ids = np.append(own, np.uint32(END_ID)).astype("<u4")
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    rows.append((doc_id, k, at, len(part), zlib.crc32(part)))
-                    if with_ids:
-                        tokens.append(part.astype(np.int32))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(tokens, pa.list_(pa.int32()))] if with_ids else [])], names=names + ["ids"] * with_ids)
+            doc_ids, at = batch.column("doc_id").to_pylist(), 0
+            for part in bpe.portions(batch.column("text").to_pylist()):
+                rows: list[tuple] = []
+                tokens: list[np.ndarray] = []
+                for doc_id, own in zip(doc_ids[at : at + len(part)], tokenizer.encode_many(part), strict=True):
+                    ids = np.append(own, np.uint32(END_ID)).astype("<u4")
+                    for k, start in enumerate(range(0, len(ids), capacity)):
+                        piece = ids[start : start + capacity]
+                        rows.append((doc_id, k, start, len(piece), zlib.crc32(piece)))
+                        tokens.append(piece)
+                at += len(part)
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                if with_ids:
+                    ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(ends, np.concatenate(tokens).astype(np.int32)))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(cut, _PIECE + ", ids array<int>" * with_ids)

@@ -196,11 +196,13 @@ def scored(docs: DataFrame, model: AttentionModel, columns: list[str]) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = np.zeros(batch.num_rows)
-            for at, part in portions(batch.column(text).to_pylist()):
-                x, counts = passages(part)
-                score[at : at + len(counts)] = model.forward(x, counts)[0]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(score)], names=[*columns, score_name])
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                score = np.zeros(some.num_rows)
+                for first, part in portions(some.column(text).to_pylist()):
+                    x, counts = passages(part)
+                    score[first : first + len(counts)] = model.forward(x, counts)[0]
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in columns), pa.array(score)], names=[*columns, score_name])
 
     out = docs.select(*[F.col(f"`{c}`") for c in columns], common.text_bytes().alias(text))
     fields = [f for f in docs.schema if f.name in columns]

@@ -36,7 +36,7 @@ from vetrina.llm import common
 #: Chunks that a worker remembers in each of two generations, at most.
 MEMORY = 300_000
 #: Characters of text that are encoded together.
-PORTION = 1 << 20
+PORTION = 1 << 21
 #: The library's white space is Unicode's; ``str.split`` also splits at these four.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Outside the long-settled letters and signs; only there may a code point be too new for Python.
@@ -245,12 +245,15 @@ class WordBpe:
             self.older, self.known = self.known, {}
         if len(self.fits) > MEMORY:
             self.fits.clear()
-        table, size = np.frombuffer(b"".join(found), "<u4"), np.array([len(x) for x in found], np.int64) // 4
+        table, size = np.frombuffer(b"".join(found), "<u4"), np.array(list(map(len, found)), np.int64) // 4
         at = chunks.indices.to_numpy()
-        start, n = (np.cumsum(size) - size)[at], size[at]
+        n = size[at]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        ids = table[np.repeat(start - (ends - n), n) + np.arange(total)]
+        # Places are counted in 32 bits where they fit, which is all but one text of gigabytes.
+        kind = np.int32 if max(total, len(table)) < 2**31 else np.int64
+        shift = ((np.cumsum(size) - size)[at] - (ends - n)).astype(kind)
+        ids = table[np.repeat(shift, n) + np.arange(total, dtype=kind)]
         cuts = np.concatenate([[0], ends])[parts.offsets.to_numpy()]
         return [self.encode(t) if p is None else ids[a:b] for t, p, a, b in zip(texts, plain, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 

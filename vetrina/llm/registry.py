@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vetrina.llm import bpe, chat, exact_dedup, licenses, packing, quality_model, quality_rules, simhash, substring_dedup, urls
+from vetrina.llm import bpe, chat, exact_dedup, hard_negatives, licenses, packing, quality_model, quality_rules, secret_scan, simhash, substring_dedup, urls, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -19,10 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": urls.op8_url_filter,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_suffix_array_dedup": substring_dedup.op10_suffix_array_dedup,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_secret_scan": secret_scan.op13_secret_scan,
 }
 
 ORACLES: dict[str, str] = {
     "op1_license_scan": licenses.oracle(),
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op4_chat_format": chat.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
 }

@@ -68,7 +68,7 @@ _SENSITIVE = re.compile(SENSITIVE, re.IGNORECASE | re.ASCII)
 _RUN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 #: What is left of the identifier that a sensitive word stands in.
 _REST = re.compile(r"[A-Za-z0-9_-]*")
-_PART = re.compile(r"[A-Z]?[a-z]{3,11}|[A-Z]{4,12}")
+_PART = re.compile(r"[A-Z][a-z]{2,11}|[a-z]{3,12}|[A-Z]{3,12}")
 #: Lower-case bytes of which a text must have some, for one of the patterns with words to find anything.
 _NEEDED = [b"passw", b"passphrase", b"pwd", b"secret", b"token", b"apikey", b"api_key", b"ccesskey", b"ccess_key", b"privatekey", b"private_key", b"clientkey", b"client_key", b"accountkey", b"account_key", b"credential", b"authorization", b"bearer", b"signature"]
 

@@ -48,6 +48,8 @@ def fit_list(rows: DataFrame, scale: int, shift: int) -> tuple[DataFrame, int]:
 
 def pair_sums(rows: DataFrame, names: list[str]) -> np.ndarray:
     """The symmetric matrix of summed products of columns: the upper triangle as generated expressions."""
+    # Columns that cannot be null make the sums' code a third as long.
+    rows = rows.select(*(F.coalesce(c, F.lit(0.0)).alias(c) for c in names))
     pairs = list(combinations_with_replacement(range(len(names)), 2))
     out = np.zeros((len(names), len(names)))
     for at in range(0, len(pairs), SUMS):

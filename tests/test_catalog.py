@@ -102,57 +102,6 @@ def test_upsert_is_null_safe_and_idempotent(spark):
     assert {tuple(r) for r in snapshot.upsert(out, new, ["k"], keep_old=["keep"]).collect()} == want
 
 
-def test_snapshot_swaps_and_locks(spark, tmp_path):
-    s = snapshot.Snapshot(spark, str(tmp_path / "t"))
-    assert s.read() is None
-    with s.lock():
-        s.replace(spark.range(3))
-        with pytest.raises(RuntimeError), s.lock():
-            pass
-        s.replace(s.read().union(spark.range(2)))
-    assert s.read().count() == 5
-    with s.lock():
-        pass
-
-
-def test_a_writer_that_stops_leaves_the_current_version(spark, tmp_path, monkeypatch):
-    s = snapshot.Snapshot(spark, str(tmp_path / "t"))
-    s.replace(spark.range(3))
-
-    def stop(self, *_):
-        raise OSError("lost")
-
-    monkeypatch.setattr(snapshot.Snapshot, "_pointers", stop)
-    with pytest.raises(OSError):
-        s.replace(spark.range(9))
-    monkeypatch.undo()
-    assert s.read().count() == 3
-    for n in range(10, 15):
-        s.replace(spark.range(n))
-    assert s.read().count() == 14
-    left = [p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]
-    assert len(left) == snapshot.KEPT_VERSIONS == len(s._pointers())
-
-
-def test_a_lock_that_is_not_renewed_is_taken_over(spark, tmp_path):
-    import os
-    import time
-
-    s = snapshot.Snapshot(spark, str(tmp_path / "t"))
-    s.replace(spark.range(1))
-    lock = tmp_path / "t" / "LOCK"
-    lock.touch()
-    os.utime(lock, (time.time() - 100,) * 2)
-    with pytest.raises(RuntimeError), s.lock(lease=1000):
-        pass
-    with s.lock(lease=50):
-        assert time.time() - lock.stat().st_mtime < 50
-        os.utime(lock, (time.time() - 100,) * 2)
-        s.renew()
-        assert time.time() - lock.stat().st_mtime < 50
-    assert not lock.exists()
-
-
 def test_stored_products_are_found_by_ean_part_and_title(spark):
     schema = "id long, product_key string, ean string, brand string, extracted_model string, model_title string, model_match_confidence string, advertiser_id long, clean_title string, first_seen_at timestamp"
     rows = [(1, "x", "e1", "acme", None, None, None, 1, "giacca", T0), (2, None, None, "acme", "M1", None, None, 1, "polo", T0), (3, None, None, "acme", None, "runner", "high", 1, "runner blu", T0), (4, "x", "e1", "acme", "M9", "other", "high", 1, "giacca", T0)]
@@ -177,34 +126,6 @@ def test_flat_rows_of_a_run(spark):
     assert {(r.id, r.availability) for r in out.collect()} == {(1, 1), (2, 0), (3, 0), (4, 1)}
 
 
-def test_resolution_against_replay(spark):
-    def components(edges):
-        rows = [(r.u, r.v) for r in edges.collect()]
-        part = {}
-
-        def root(i):
-            while part.setdefault(i, i) != i:
-                i = part[i]
-            return i
-
-        for a, b in rows:
-            x, y = sorted((root(a), root(b)))
-            part[y] = x
-        return spark.createDataFrame([(i, root(i)) for i in list(part)], "id long, component long")
-
-    rows = [(0, 1, "e1", "b", None, None, None, "giacca"), (1, 2, "e1", "b", None, None, None, "altra"), (2, 1, None, "b", "M1", None, None, "x"), (3, 3, "e2", "b", "M1", None, None, "y"), (4, 1, None, "b", None, None, None, "giacca nero xl"), (5, 4, "e2", "c", None, None, None, "z")]
-    df = spark.createDataFrame(rows, "feed_pos long, advertiser_id long, ean string, brand string, extracted_model string, model_title string, model_match_confidence string, clean_title string")
-    df = df.withColumns({c: F.lit(None).cast("string") for c in ("color", "size", "material", "colorway_name")})
-    closed = {r.feed_pos: r.product_key for r in resolve.resolve(df).collect()}
-    exact = {r.feed_pos: r.product_key for r in resolve.replay(df, components).collect()}
-    assert closed == exact
-    assert closed[0] == closed[1] == closed[4] and closed[2] == closed[3] == closed[5] != closed[0]
-    titled = spark.createDataFrame([(0, 1, None, "b", "M1", "T", "high", "q"), (1, 2, None, "b", "M2", "T", "high", "r"), (2, 3, None, "b", "M2", None, None, "s")], df.schema.simpleString()[7:-1].split(",color")[0].replace(":", " ").replace("bigint", "long"))
-    titled = titled.withColumns({c: F.lit(None).cast("string") for c in ("color", "size", "material", "colorway_name")})
-    keys = {r.feed_pos: r.product_key for r in resolve.replay(titled, components).collect()}
-    assert keys[0] == keys[1] != keys[2]
-
-
 def test_balanced_sample_takes_turns(spark):
     rows = spark.createDataFrame([(0, 1, "a"), (1, 1, "a"), (2, 1, "b"), (3, 2, "c"), (4, 2, "c")], "feed_pos long, advertiser_id long, clean_title string")
     assert [r.feed_pos for r in sampling.balanced(rows, 4).collect()] == [0, 3, 2, 4]
@@ -409,8 +330,8 @@ def test_streamed_feeds(spark, tmp_path):
     run()
     run()
     catalog = Catalog(spark, root)
-    assert {r.source_product_id: (r.price, r.available) for r in catalog.offers.read().collect()} == {"a": (12.0, True), "b": (5.0, False)}
-    log = catalog.runs.read().orderBy("started_at").collect()
+    assert {r.source_product_id: (r.price, r.available) for r in catalog.offers().collect()} == {"a": (12.0, True), "b": (5.0, False)}
+    log = catalog.table("runs").orderBy("started_at").collect()
     assert [(r.new, r.updated, r.sold_out, r.deactivated) for r in log] == [(2, 0, 0, 0), (0, 1, 1, 1)]
     src = tmp_path / "req"
     spark.createDataFrame([("k", datetime(2024, 1, 1, 0, 0, s)) for s in range(5)], "key string, at timestamp").coalesce(1).write.json(str(src))

@@ -23,6 +23,7 @@ def test_query(spark, sql, name):
 def test_entry_has_a_stable_schema(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).columns == ["id", "score", "reasons"]
+    found = entry.entry(spark)
+    assert found.columns == ["id", "score", "reasons", "place"] and found.count() == 30
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) <= set(entry.queries())

@@ -242,9 +242,42 @@ colored AS (SELECT *, sha256('product:' || product_key || '|color:' || coalesce(
 resolved AS (SELECT *, CASE WHEN ean IS NOT NULL THEN 'ean:' || ean ELSE sha256('product:' || product_key || '|color_variant:' || color_variant_key || '|size:' || coalesce(size, '') || '|material:' || coalesce(material, '')) END AS variant_key FROM colored)"""
 
 
-@query("entity_resolution", f"WITH {_RESOLVED} SELECT feed_pos, product_key, color_variant_key, variant_key FROM resolved")
+#: Part numbers of which one is on a third of all rows, sure titles on two thirds: (part number, title, confidence).
+_EVIDENCE = "CASE WHEN quantity % 3 = 1 THEN 'M-hot' WHEN quantity % 9 = 0 THEN 'M' || quantity END AS model, 'model ' || (o.product_id % 40) AS model_title, CASE WHEN line % 3 > 0 THEN 'high' ELSE 'low' END AS sure"
+# The rule row by row: a recursion over the first rows of equal evidence, brand by brand, keeps what is known by then.
+_BY_EVIDENCE = f"""{OFFERS}, {PRODUCTS}, raw AS (
+  SELECT o.id AS feed_pos, o.advertiser_id, CASE WHEN line = 1 THEN 'e' || (order_id % 900) END AS ean, brand, {_EVIDENCE}, title, color, material, size
+  FROM offers o JOIN products p USING (product_id)),
+own AS (SELECT *, CASE WHEN sure = 'high' THEN model_title END AS t, sha256(CASE WHEN model IS NOT NULL THEN 'mpn:' || brand || '|' || model WHEN sure = 'high' THEN 'gemini-model:' || brand || '|' || model_title ELSE 'merchant:' || advertiser_id || '|' || brand || '|' || title END) AS k FROM raw),
+leads AS (SELECT * FROM own WHERE ean IS NULL UNION ALL SELECT * FROM (SELECT * FROM own WHERE ean IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ean ORDER BY feed_pos) = 1)),
+firsts AS (SELECT brand, model, t, min(feed_pos) AS since, min_by(k, feed_pos) AS k FROM leads WHERE model IS NOT NULL OR t IS NOT NULL GROUP BY ALL),
+turns AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY since) AS n FROM firsts),
+step AS (
+  SELECT brand, 0 AS n, CAST([] AS VARCHAR[]) AS parts, CAST([] AS BIGINT[]) AS part_from, CAST([] AS VARCHAR[]) AS titles, CAST([] AS BIGINT[]) AS title_from, CAST([] AS VARCHAR[]) AS owners FROM (SELECT DISTINCT brand FROM turns)
+  UNION ALL
+  SELECT brand, n, CASE WHEN makes AND model IS NOT NULL THEN list_append(parts, model) ELSE parts END, CASE WHEN makes AND model IS NOT NULL THEN list_append(part_from, since) ELSE part_from END,
+         CASE WHEN makes AND t IS NOT NULL THEN list_append(titles, t) ELSE titles END, CASE WHEN makes AND t IS NOT NULL THEN list_append(title_from, since) ELSE title_from END, CASE WHEN makes AND t IS NOT NULL THEN list_append(owners, k) ELSE owners END
+  FROM (SELECT e.*, s.* EXCLUDE (brand, n), NOT coalesce(list_contains(parts, model), false) AND NOT coalesce(list_contains(titles, t), false) AS makes FROM step s JOIN turns e ON e.brand = s.brand AND e.n = s.n + 1)),
+ended AS (SELECT * FROM step QUALIFY row_number() OVER (PARTITION BY brand ORDER BY n DESC) = 1),
+met AS (SELECT l.*, part_from[list_position(parts, model)] AS p_at, title_from[list_position(titles, t)] AS t_at, owners[list_position(titles, t)] AS owner FROM leads l LEFT JOIN ended USING (brand)),
+named AS (SELECT ean, feed_pos, CASE WHEN p_at <= feed_pos THEN k WHEN t_at <= feed_pos THEN owner ELSE k END AS product_key, CASE WHEN p_at <= feed_pos THEN p_at = feed_pos WHEN t_at <= feed_pos THEN t_at = feed_pos ELSE true END AS makes FROM met),
+keyed AS (
+  SELECT o.*, n.product_key, n.makes FROM own o JOIN named n USING (feed_pos) WHERE o.ean IS NULL
+  UNION ALL SELECT o.*, n.product_key, n.makes AND n.feed_pos = o.feed_pos FROM own o JOIN named n ON n.ean = o.ean),
+colored AS (SELECT *, sha256('product:' || product_key || '|color:' || coalesce(color, 'non_specificato') || '|mpn:' || coalesce(model, '') || '|colorway:') AS color_variant_key FROM keyed)
+SELECT feed_pos, product_key, makes AS updates_product, color_variant_key, CASE WHEN ean IS NOT NULL THEN 'ean:' || ean ELSE sha256('product:' || product_key || '|color_variant:' || color_variant_key || '|size:' || coalesce(size, '') || '|material:' || coalesce(material, '')) END AS variant_key FROM colored"""
+
+
+@query("entity_resolution", f"WITH RECURSIVE {_BY_EVIDENCE}")
 def entity_resolution(spark, d):
-    return resolve.resolve(_rows_to_resolve(spark, d)).select("feed_pos", "product_key", "color_variant_key", "variant_key")
+    """Offers by EAN, part number and sure title, in their order; one part number is on a third of them."""
+    x = offers(spark, d).select(F.col("id").alias("feed_pos"), "quantity", "line", "product_id")
+    q = F.col("quantity")
+    part = F.when(q % 3 == 1, "M-hot").when(q % 9 == 0, F.concat(F.lit("M"), q.cast("string")))
+    title = F.concat(F.lit("model "), (F.col("product_id") % 40).cast("string"))
+    told = x.select("feed_pos", part.alias("extracted_model"), title.alias("model_title"), F.when(F.col("line") % 3 > 0, "high").otherwise("low").alias("model_match_confidence"))
+    rows = _rows_to_resolve(spark, d).drop("extracted_model", "model_title", "model_match_confidence").join(told, "feed_pos")
+    return resolve.resolve(rows).select("feed_pos", "product_key", "updates_product", "color_variant_key", "variant_key")
 
 
 @query("resolved_variants", f"WITH {_RESOLVED} SELECT variant_key, max_by(product_key, feed_pos) AS product_key, max_by(size, feed_pos) FILTER (WHERE size IS NOT NULL) AS size, max_by(material, feed_pos) FILTER (WHERE material IS NOT NULL) AS material FROM resolved GROUP BY variant_key")

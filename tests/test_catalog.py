@@ -292,16 +292,16 @@ def test_feed_files(spark, tmp_path):
     zipped.write_bytes(gzip.compress(text.encode()))
     cp.write_bytes(text.replace("u,", "€,").encode("cp1252"))
     for source in (plain, zipped, cp):
-        rows = feed.read_feed(spark, feed.stage(str(source), str(tmp_path / "stage"))).orderBy("id").collect()
+        rows = feed.read_feed(spark, feed.stage(spark, str(source), str(tmp_path / "stage"))).orderBy("id").collect()
         assert [r.id for r in rows] == ["1", "2"] and rows[0].title.startswith("Città") and rows[1].price is None
     assert feed.detect_encoding(b"\xef\xbb\xbfa") == "utf-8" and feed.detect_encoding("è".encode("cp1252")) == "windows-1252"
     broken = tmp_path / "d.feed"
     broken.write_bytes(gzip.compress(text.encode() * 400)[:-200])
     with pytest.raises(feed.FeedError):
-        feed.read_feed(spark, feed.stage(str(broken), str(tmp_path / "stage")))
+        feed.read_feed(spark, feed.stage(spark, str(broken), str(tmp_path / "stage")))
     waits = []
     with pytest.raises(feed.FeedError):
-        feed.stage("nowhere", str(tmp_path / "stage"), wait=waits.append)
+        feed.stage(spark, "nowhere", str(tmp_path / "stage"), wait=waits.append)
     assert waits == [1, 2]
 
 

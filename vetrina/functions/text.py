@@ -183,6 +183,15 @@ def attribute_terms(value: str | None, rules: Rules) -> list[str]:
     return next((list(terms) for own, *terms in rules if own == value), [value])
 
 
+def synonyms(c: Column, rules: Rules) -> Column:
+    """All terms of a canonical value as an array; the value itself if it is not in the vocabulary, none for an empty one."""
+    known: dict[str, list[str]] = {}
+    for own, *terms in rules:
+        known.setdefault(own, terms)
+    by_value = F.create_map(*[x for own, terms in known.items() for x in (F.lit(own), F.array(*map(F.lit, terms)))])
+    return F.when(F.coalesce(c, F.lit("")) != "", F.coalesce(F.try_element_at(by_value, c), F.array(c))).otherwise(F.array().cast("array<string>"))
+
+
 def _numbers(first: int, last: int, zero: bool = False) -> str:
     """Numbers with decimals, the longer ones first; with ``zero`` one digit may have a nought before it."""
     wide = [f"{n:02d}" for n in range(first, last + 1) if zero or n > 9]

@@ -8,8 +8,10 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field, fields, replace
 from hashlib import sha256
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from vetrina import vocab
 from vetrina.functions.text import ranking_text
@@ -103,6 +105,12 @@ def sanitize(query: object, most: int = 500) -> str:
     return text
 
 
+def sanitized(c: Column, most: int = 500) -> Column:
+    """``sanitize`` for a column: null for a query that is empty or too long."""
+    text = F.trim(F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""))
+    return F.when((text != "") & (F.length(text) <= most), text)
+
+
 def like(c: Column, value: str, escaped: bool = False) -> Column:
     """Substring without case; ``%`` and ``_`` of the value are wildcards unless ``escaped``."""
     if escaped:
@@ -272,6 +280,16 @@ def minimized(filters: Mapping[str, object]) -> dict[str, object]:
     return out
 
 
+@F.arrow_udf(StringType())
+def _minimized_json(texts: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else json.dumps(minimized(json.loads(x)), ensure_ascii=False) for x in texts.to_pylist()], pa.string())
+
+
+def minimized_filters(c: Column) -> Column:
+    """``minimized`` for a column of JSON objects."""
+    return _minimized_json(c)
+
+
 def history_text(entries: list[Mapping[str, object]], most: int = 1000) -> str:
     return "\n".join(json.dumps(minimized(e), ensure_ascii=False) for e in entries)[-most:]
 
@@ -284,3 +302,13 @@ def link_key(advertiser: int, url: str, parameters: Mapping[str, str]) -> str:
     """Cache key of a link: digest of canonical JSON, keys sorted, ASCII only."""
     return sha256(json.dumps({"advertiser": advertiser, "parameters": dict(parameters), "url": url}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
+
+def _json_text(c: Column) -> Column:
+    """A JSON string, for texts in ASCII without control characters."""
+    return F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\\\])', r"\\$1"), F.lit('"'))
+
+
+def link_key_of(advertiser: Column, url: Column, campaign: Column, place: Column) -> Column:
+    """``link_key`` with the parameters of a click, for columns of ASCII texts."""
+    parameters = F.concat(F.lit('{"campaign":'), _json_text(F.substring(campaign, 1, 50)), F.lit(',"clickref":'), _json_text(place), F.lit("}"))
+    return F.sha2(F.concat(F.lit('{"advertiser":'), advertiser.cast("string"), F.lit(',"parameters":'), parameters, F.lit(',"url":'), _json_text(url), F.lit("}")), 256)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,25 +16,47 @@ LIMIT, WINDOW_SECONDS, LINK_DAYS = 8, 60, 7
 def accepted_requests(requests: DataFrame, key: str, at: str, limit: int = LIMIT, seconds: int = WINDOW_SECONDS) -> DataFrame:
     """(key, received, accepted): a request passes if fewer than ``limit`` passed in the ``seconds`` before it.
 
-    Refused requests do not count, so this is a fold over each key's times and not a window count. The fold runs in
-    pieces that no decision crosses: a gap of ``seconds`` clears the log, so a key's requests are cut at such gaps and
-    only a burst meets in one row.
+    Refused requests do not count, so this is a fold over each key's times and not a window count. A task reads its keys'
+    times in order and holds the log of one key, ``limit`` times at most, however many requests there are; once the log
+    is full, the next one to pass is found by a search. Requests without a time are left out.
     """
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    rows = requests.select(key, micros.alias("_t"))
-    order = Window.partitionBy(key).orderBy("_t")
-    rows = rows.withColumn("_new", F.when(F.col("_t") - F.lag("_t").over(order) < seconds * 1_000_000, 0).otherwise(1))
-    rows = rows.withColumn("_burst", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    bursts = rows.groupBy(key, "_burst").agg(F.array_sort(F.collect_list("_t")).alias("_times"))
-    start = F.struct(F.array().cast("array<bigint>").alias("log"), F.lit(0).cast("bigint").alias("passed"))
-
-    def step(s: Column, t: Column) -> Column:
-        log = F.filter(s["log"], lambda x: t - x < seconds * 1_000_000)
-        free = F.size(log) < limit
-        return F.struct(F.when(free, F.array_append(log, t)).otherwise(log).alias("log"), (s["passed"] + F.when(free, 1).otherwise(0)).alias("passed"))
-
-    per = bursts.select(key, F.size("_times").cast("long").alias("_n"), F.aggregate("_times", start, step)["passed"].alias("_passed"))
-    return per.groupBy(key).agg(F.sum("_n").alias("received"), F.sum("_passed").alias("accepted"))
+    span = seconds * 1_000_000
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: pa.Array | None = None
+        log: list[int] = []
+        received = accepted = 0
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([own, pa.array([received], pa.int64()), pa.array([accepted], pa.int64())], names=[key, "received", "accepted"])
+
+        for batch in batches:
+            runs = pc.run_end_encode(batch.column(key))
+            times = batch.column("_t").to_numpy()
+            begin = 0
+            for i, end in enumerate(runs.run_ends.to_pylist()):
+                name = runs.values.slice(i, 1)
+                if own is None or not own.equals(name):
+                    if own is not None:
+                        yield done()
+                    own, log, received, accepted = name, [], 0, 0
+                part, k = times[begin:end], 0
+                received += len(part)
+                while k < len(part):
+                    log = [x for x in log if part[k] - x < span]
+                    if len(log) < limit:
+                        log.append(int(part[k]))
+                        accepted += 1
+                        k += 1
+                    else:
+                        k += int(np.searchsorted(part[k:], log[0] + span)) if log else len(part)
+                begin = end
+        if own is not None:
+            yield done()
+
+    rows = requests.select(key, F.unix_micros(F.col(at).cast("timestamp")).alias("_t")).where("_t is not null")
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.repartition(key).sortWithinPartitions(key, "_t").mapInArrow(fold, f"`{key}` {kind}, received long, accepted long")
 
 
 def fresh_links(cache: DataFrame, now: Column, days: int = LINK_DAYS) -> DataFrame:

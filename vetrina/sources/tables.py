@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,47 @@ def write_jdbc(df: DataFrame, url: str, table: str, options: Mapping[str, str] |
     df.write.format("jdbc").option("url", url).option("dbtable", table).options(**(options or {})).mode(mode).save()
 
 
+def upsert_jdbc(df: DataFrame, url: str, table: str, keys: Sequence[str], options: Mapping[str, str] | None = None, keep_old: Sequence[str] = (), prefer_old: Sequence[str] = ()) -> None:
+    """Update and insert rows by ``keys``, all or none.
+
+    Executors write a staging table beside the target; then the database itself merges it, in one transaction, so a
+    writer that stops at any time leaves the target as it was. ``keep_old``: a null does not overwrite. ``prefer_old``: a
+    filled old value stays. ``df`` has one row per key.
+    """
+    options = dict(options or {})
+    staging = f"staging_{uuid.uuid4().hex[:12]}"
+    write_jdbc(df, url, staging, options)
+    jvm = df.sparkSession._jvm
+    settings = jvm.java.util.Properties()
+    for name, value in options.items():
+        if name in ("user", "password"):
+            settings.setProperty(name, value)
+    connection = jvm.java.sql.DriverManager.getConnection(url, settings)
+    quoted = {c: f'"{c}"' for c in df.columns}
+    value = {c: f"s.{q}" for c, q in quoted.items()}
+    value |= {c: f"COALESCE(s.{quoted[c]}, t.{quoted[c]})" for c in keep_old} | {c: f"COALESCE(t.{quoted[c]}, s.{quoted[c]})" for c in prefer_old}
+    updates = ", ".join(f"{quoted[c]} = {value[c]}" for c in df.columns if c not in keys)
+    merge = (
+        f"MERGE INTO {table} t USING {staging} s ON {' AND '.join(f't.{quoted[k]} = s.{quoted[k]}' for k in keys)}"
+        + (f" WHEN MATCHED THEN UPDATE SET {updates}" if updates else "")
+        + f" WHEN NOT MATCHED THEN INSERT ({', '.join(quoted.values())}) VALUES ({', '.join(f's.{q}' for q in quoted.values())})"
+    )
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        try:
+            statement.executeUpdate(merge)
+            connection.commit()
+        except Exception:
+            connection.rollback()
+            raise
+        finally:
+            statement.executeUpdate(f"DROP TABLE {staging}")
+            connection.commit()
+    finally:
+        connection.close()
+
+
 def write_partitioned(df: DataFrame, path: str, by: str, files: int) -> None:
     """Parquet clustered by a column: readers that filter on it skip files by their statistics."""
     df.repartitionByRange(files, by).sortWithinPartitions(by).write.mode("overwrite").parquet(path)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from vetrina import vocab
+from vetrina.functions import sizes
 
 Rules = Iterable[tuple[str, ...]]
 
@@ -53,16 +54,28 @@ def fold(c: Column) -> Column:
     return _fold(c.cast("string"))
 
 
-def folded(fold_: dict[str, Column], compose: dict[str, Column]) -> Column:
-    """A struct of folded and of composed texts, in one exchange with Python."""
-    names = [*fold_, *compose]
-    n = len(fold_)
+def _shown(text: str) -> str | None:
+    """``display_text`` of one text."""
+    if text.isascii() and text.isprintable():
+        plain = text if "  " not in text else " ".join(text.split())
+    else:
+        plain = " ".join("".join(" " if unicodedata.category(c)[0] == "C" else c for c in _composed(text)).split())
+    return plain.strip() or None
+
+
+def folded(fold_: dict[str, Column], shown: dict[str, Column], size: tuple[str, str]) -> Column:
+    """A struct of folded texts, of texts as they are shown, and of the sizes that two of the latter, a title and a text,
+    name: ``short``, ``shorter`` (the title without sizes, once and again), ``title_size`` and ``text_size``. All of it
+    takes one exchange with Python."""
+    n, title, text = len(fold_), list(shown).index(size[0]), list(shown).index(size[1])
+    names = [*fold_, *shown, "short", "shorter", "title_size", "text_size"]
 
     def run(*texts: pa.Array) -> pa.Array:
-        return pa.StructArray.from_arrays([_beyond_ascii(x, _without_marks if i < n else _composed) for i, x in enumerate(texts)], names)
+        seen = [pa.array([None if x is None else _shown(x) for x in t.to_pylist()], pa.string()) for t in texts[n:]]
+        return pa.StructArray.from_arrays([*(_beyond_ascii(x, _without_marks) for x in texts[:n]), *seen, *sizes.of_title_and_text(seen[title], seen[text])], names)
 
     kind = StructType([StructField(name, StringType()) for name in names])
-    return F.arrow_udf(run, kind)(*(c.cast("string") for c in (*fold_.values(), *compose.values())))
+    return F.arrow_udf(run, kind)(*(c.cast("string") for c in (*fold_.values(), *shown.values())))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -77,7 +90,8 @@ def filled(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """White space runs as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    # Single blanks stay as they are: most texts are not copied.
+    return F.trim(F.regexp_replace(c, r"(?U)\s{2,}|[^\S ]", " "))
 
 
 def normalized_text(c: Column, folded: bool = False) -> Column:
@@ -106,17 +120,19 @@ def _any(terms: Iterable[str]) -> str:
     return pattern(tree)
 
 
+#: What stands between a number and its unit: blanks, with one hyphen at most.
+_BEFORE_UNIT = rf"(?<=\b\d{{1,30}})\s*[- ]?\s*(?=(?:{'|'.join(vocab.UNITS)})\b)"
+
+
 def clean_title(c: Column, folded: bool = False) -> Column:
     """Search title: units joined to their numbers, no marketing phrases, ASCII letters and digits only."""
-    text = normalized_text(c, folded)
-    text = F.regexp_replace(text, rf"\b(\d+)(?:[.,](\d+))?\s*[- ]?\s*({'|'.join(vocab.UNITS)})\b", "$1\u0001$2$3")
-    text = F.regexp_replace(F.regexp_replace(text, "\u0001(?=\\d)", "."), "\u0001", "")
+    text = F.regexp_replace(normalized_text(c, folded), _BEFORE_UNIT, "")
     text = F.regexp_replace(text, rf"(?U)\b(?:{_any(vocab.MARKETING_PHRASES)})\b", " ")
-    return filled(squeeze(F.regexp_replace(text, r"[^a-z0-9\s]", " ")))
+    return filled(squeeze(F.regexp_replace(text, r"(?U)[^a-z0-9\s]", " ")))
 
 
 def display_text(c: Column, composed: bool = False) -> Column:
-    """The original text, composed, without control characters. ``composed``: c is composed already."""
+    """The original text, composed, without control characters. ``composed``: c is composed, or without marks, already."""
     return filled(squeeze(F.regexp_replace(c if composed else _compose(c.cast("string")), r"\p{C}", " ")))
 
 
@@ -192,32 +208,10 @@ def synonyms(c: Column, rules: Rules) -> Column:
     return F.when(F.coalesce(c, F.lit("")) != "", F.coalesce(F.try_element_at(by_value, c), F.array(c))).otherwise(F.array().cast("array<string>"))
 
 
-def _numbers(first: int, last: int, zero: bool = False) -> str:
-    """Numbers with decimals, the longer ones first; with ``zero`` one digit may have a nought before it."""
-    wide = [f"{n:02d}" for n in range(first, last + 1) if zero or n > 9]
-    return rf"(?:{'|'.join([*wide, *(str(n) for n in range(first, min(last, 9) + 1))])})(?:[.,]\d+)?"
-
-
 def _phrases(words: Iterable[str]) -> str:
     return "|".join(w.replace(" ", r"\s+") for w in words)
 
 
-def _size_pattern() -> str:
-    letters = [*vocab.SIZE_LETTERS, *_NUMBERED_XL]
-    regions = [rf"{region}\s*{_numbers(*ends, region in vocab.SIZE_ZERO_REGIONS)}" for region, ends in vocab.SIZE_REGIONS.items()]
-    waist_and_length = r"w\s*\d{2}\s*l\s*\d{2}"
-    return "(?:" + "|".join([*letters, *vocab.SIZE_WORDS, *regions, waist_and_length, _numbers(*vocab.SIZE_NUMBERS)]) + ")"
-
-
-_NUMBERED_XL = [f"{n}xl" for n in range(2, vocab.SIZE_LARGEST_XL + 1)]
-_SIZE = _size_pattern()
-_LABELLED_SIZE = rf"(?iU)(?:{'|'.join(vocab.SIZE_LABELS)})\s*[:\-]?\s*({_SIZE}(?:\s*[/,;|\-]\s*{_SIZE})*)\b"
-_LAST_SIZE = rf"(?iU)(?:\s*[-|,]\s*|\s+)({_SIZE})$"
-_ONE_SIZE = rf"(?iU)(?:\s*[-|,]\s*)?\b(?:{_phrases(vocab.SIZE_ONE_WORDS)})\b"
-#: Letters that are no words of their own go wherever they stand; bare s, m and l only at the end.
-_LETTER_SIZE = rf"(?iU)(?<!\w)(?:{'|'.join([x for x in vocab.SIZE_LETTERS if len(x) > 1] + _NUMBERED_XL)})(?!\w)"
-
-
 def normalized_size(c: Column, folded: bool = False) -> Column:
     """Sizes as a comma list without repeats, in order of appearance; a comma between digits is a decimal one."""
     raw = F.translate(F.regexp_replace(c.cast("string"), r"(\d),(\d)", "$1.$2"), ",", "/")
@@ -230,15 +224,12 @@ def normalized_size(c: Column, folded: bool = False) -> Column:
 
 def extracted_size(c: Column) -> Column:
     """The size that a text names: labelled anywhere, else at its end."""
-    labelled = F.regexp_extract(c, _LABELLED_SIZE, 1)
-    return normalized_size(F.coalesce(filled(labelled), filled(F.regexp_extract(c, _LAST_SIZE, 1))), folded=True)
+    return normalized_size(sizes.found(c), folded=True)
 
 
 def without_size(c: Column) -> Column:
     """A title without explicit sizes; bare numbers go at its end only."""
-    for pattern in (_LABELLED_SIZE, _ONE_SIZE, _LETTER_SIZE, _LAST_SIZE):
-        c = F.regexp_replace(c, pattern, "")
-    return F.btrim(c, F.lit(" -|,"))
+    return sizes.stripped(c)
 
 
 def _tail() -> str:
@@ -250,7 +241,40 @@ def _tail() -> str:
 
 
 _TAIL = _tail()
-_LINKED_CONJUNCTION = rf"(?iU)(?<!\w)(?:{'|'.join(vocab.TITLE_LINKS)})\s+(?:{'|'.join(vocab.TITLE_CONJUNCTIONS[:2])})(?!\w)"
+def _parts(c: Column) -> Column:
+    """A text as words and what stands between them, in turn."""
+    return F.split(c, r"(?U)\b")
+
+
+def _without_links(text: Column) -> Column:
+    """``text`` without a linking word and a conjunction that follows it: neither has a part of the title behind it."""
+    links, ends = F.array(*map(F.lit, vocab.TITLE_LINKS)), F.array(*map(F.lit, vocab.TITLE_CONJUNCTIONS[:2]))
+
+    def cut(parts: Column) -> Column:
+        at = lambda i: F.lower(F.coalesce(F.get(parts, i), F.lit("")))
+        pair = lambda i: F.array_contains(links, at(i)) & (F.trim(at(i + 1)) == "") & (at(i + 1) != "") & F.array_contains(ends, at(i + 2))
+        return F.array_join(F.transform(parts, lambda p, i: F.when(pair(i), " ").when(pair(i - 1) | pair(i - 2), "").otherwise(p)), "")
+
+    # Few titles have such a conjunction; the others are not taken apart.
+    return F.when(text.rlike(rf"(?iU)\b(?:{'|'.join(vocab.TITLE_CONJUNCTIONS[:2])})\b"), let(_parts(text), cut)).otherwise(text)
+
+
+def _spelt(text: Column) -> Column:
+    """Pairs of words that feeds often misspell, put right; ``text`` has single blanks."""
+    for wrong, right in vocab.SPELLINGS.items():
+        text = _replaced_pair(text, *wrong.split(" "), right)
+    return text
+
+
+def _replaced_pair(text: Column, first: str, last: str, right: str) -> Column:
+    def put(parts: Column) -> Column:
+        at = lambda i: F.lower(F.coalesce(F.get(parts, i), F.lit("")))
+        here = lambda i: (at(i) == first) & (at(i + 1) == " ") & (at(i + 2) == last)
+        return F.array_join(F.transform(parts, lambda p, i: F.when(here(i), right).when(here(i - 1) | here(i - 2), "").otherwise(p)), "")
+
+    # Few titles have both words; the others are not taken apart.
+    low = F.lower(text)
+    return F.when(F.contains(low, F.lit(first)) & F.contains(low, F.lit(last)), let(_parts(text), put)).otherwise(text)
 
 
 def _without_words(c: Column, words: Iterable[str]) -> Column:
@@ -263,20 +287,20 @@ def display_title(title: Column, brand: Column | None = None) -> Column:
     Words of every attribute vocabulary go whatever the row's own attributes are, which covers those as well. If nothing
     is left, the title without sizes stays.
     """
-    return let(without_size(title), lambda short: _shortened(short, brand))
+    return let(without_size(title), lambda short: shortened(short, brand))
 
 
-def _shortened(short: Column, brand: Column | None) -> Column:
+def shortened(short: Column, brand: Column | None) -> Column:
+    """``display_title`` of a title without sizes."""
     text = _without_words(short, vocab.MARKETING_PHRASES)
     if brand is not None:
         quoted = F.concat(F.lit(r"(?iU)(?<!\w)\Q"), F.replace(filled(brand), F.lit(r"\E"), F.lit("")), F.lit(r"\E(?!\w)"))
         text = F.regexp_replace(text, F.coalesce(quoted, F.lit("(?!)")), F.lit(" "))
     attributes = (vocab.COLOR_RULES, vocab.MATERIAL_RULES, vocab.GENDER_RULES, vocab.AGE_GROUP_RULES)
     text = _without_words(text, [*(t for rules in attributes for _, *terms in rules for t in terms), *vocab.DISPLAY_ONLY_WORDS])
-    text = F.regexp_replace(text, _LINKED_CONJUNCTION, " ")
-    text = F.regexp_replace(squeeze(text), _TAIL, "")
-    text = F.regexp_replace(text, r"(?iU)\bpantaloni\s+jean\b", "Pantaloni Jeans")
-    text = F.btrim(F.regexp_replace(text, r"(?U)\s+", " "), F.lit(" -|,/:;."))
+    text = F.regexp_replace(squeeze(let(text, _without_links)), _TAIL, "")
+    text = let(text, _spelt)
+    text = F.btrim(squeeze(text), F.lit(" -|,/:;."))
     return F.coalesce(filled(text), short)
 
 
@@ -319,7 +343,7 @@ def color_conflict(feed: Column, seen: Column) -> Column:
 
 def ranking_text(c: Column) -> Column:
     """Text as the ranker compares it: folded, ASCII letters and digits, single blanks."""
-    return F.trim(F.regexp_replace(F.lower(fold(F.coalesce(c.cast("string"), F.lit("")))), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(fold(F.coalesce(c.cast("string"), F.lit("")))), "(?U)[^a-z0-9]+", " "))
 
 
 def without_controls(c: Column) -> Column:

@@ -15,7 +15,9 @@ def refreshed(flat: DataFrame) -> DataFrame:
     Rows without either stay as they are.
     """
     source = F.coalesce(t.filled(F.trim("source_title")), t.filled(F.trim("title")))
-    out = flat.withColumn("_source", source).withColumn("_title", t.display_title(F.col("_source"), F.col("brand")))
+    # Behind a generator, so that the search title is made of the title and not of its expression.
+    out = flat.withColumn("_source", source)
+    out = out.select("*", F.explode(F.array(t.display_title(F.col("_source"), F.col("brand")))).alias("_title"))
     have = F.col("_source").isNotNull()
     made = {"title": F.col("_title"), "clean_title": t.clean_title(F.col("_title")), "source_title": F.col("_source")}
     return out.withColumns({c: F.when(have, x).otherwise(F.col(c)) for c, x in made.items()}).select(*flat.columns)

@@ -134,6 +134,9 @@ SIZE_ONE_WORDS = ["taglia unica", "one size", "onesize"]
 SIZE_ONE_ALIASES = ["one size", "onesize", "tu", "uni"]
 SIZE_LABELS = ["taglia", "size", "misura"]
 
+#: Spellings of feeds that are put right in titles.
+SPELLINGS = {"pantaloni jean": "Pantaloni Jeans"}
+
 #: Words that link two parts of a title: before an attribute, before a conjunction, and conjunctions.
 TITLE_LINKS = ["in", "di", "da", "con", "per"]
 TITLE_CONNECTORS = ["in", "di", "da", "con", "per", "for", "with", "made"]

@@ -16,7 +16,7 @@ from vetrina.functions import sizes
         ("Jeans W 32 L 34", "W 32 L 34", "Jeans"),
         ("Jeans misura - w32l34", "w32l34", "Jeans"),
         ("Polo XXL estate", None, "Polo  estate"),
-        ("Cappello taglia unica Nero", None, "Cappello Nero"),
+        ("Cappello taglia unica Nero", None, "Cappello  Nero"),
         ("Guanti taglia unica", "taglia unica", "Guanti"),
         ("Sciarpa - One Size", "One Size", "Sciarpa"),
         ("Air Force 1 07", None, "Air Force 1 07"),

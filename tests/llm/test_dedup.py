@@ -27,27 +27,43 @@ def test_exact_dedup_is_brute_force(docs, corpus):
 
 def test_exact_dedup_over_batches(spark, docs):
     index = exact_dedup.DigestIndex(spark, common.new_path(spark, "test-index"))
-    first, second = docs([(5, "a b"), (3, "ab"), (9, "c")]), docs([(1, "a  b"), (2, "d")])
+    first, second = docs([(5, "a b"), (3, "ab"), (9, "c")]), docs([(1, "a  b"), (2, "d"), (4, "a b")])
     index.append(first)
     index.append(first)  # repeating a batch adds nothing
     assert index.entries().count() == 2
-    index.append(second)
-    assert {r.doc_id: (r.keep_id, r.kept) for r in index.decide(second).collect()} == {1: (5, False), 2: (2, True)}
+    index.append(second)  # a longer copy is better, a copy as long with a smaller id would be
+    assert index.entries().count() == 4
+    assert {r.doc_id: (r.keep_id, r.kept, r.group_size) for r in index.decide(second).collect()} == {1: (1, True, 2), 2: (2, True, 1), 4: (1, False, 2)}
     index.close()
     partitions = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "3")
     try:
         again = exact_dedup.DigestIndex(spark, index.root)
-        assert again.buckets == index.buckets and again.entries().count() == 3
-        third = docs([(7, "ab"), (8, "e"), (9, " d")])
+        assert again.buckets == index.buckets and again.entries().count() == 4
+        third = docs([(7, "ab"), (8, "e"), (9, " d"), (None, " d")])
         again.append(third)
-        assert again.entries().count() == 4
-        assert {r.doc_id: (r.keep_id, r.kept) for r in again.decide(third).collect()} == {7: (5, False), 8: (8, True), 9: (2, False)}
+        assert again.entries().count() == 6
+        assert {r.doc_id: (r.keep_id, r.kept) for r in again.decide(third).collect()} == {7: (1, False), 8: (8, True), 9: (None, False), None: (None, True)}
         again.close()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
 
 
+def test_the_order_of_batches_does_not_matter(spark, docs, corpus):
+    whole = {r.digest: (r.chars, r.keep_id) for r in exact_dedup._indexed(docs(corpus))[0].best().collect()}
+    for parts in ([corpus[::2], corpus[1::2]], [corpus[1::2], corpus[::2], corpus[:5]]):
+        index = exact_dedup.DigestIndex(spark, common.new_path(spark, "test-index"))
+        for part in parts:
+            index.append(docs(part))
+        index.close()
+        assert {r.digest: (r.chars, r.keep_id) for r in index.best().collect()} == whole
+
+
+def test_of_rows_with_one_id_the_longest_stays(docs):
+    rows = [(1, "a b"), (1, "ab"), (1, "a\tb"), (2, "a b")]
+    assert [r.text for r in exact_dedup.drop_copies(docs(rows)).collect()] == ["a\tb"]
+
+
 def test_drop_copies_keeps_columns(docs):
     kept = exact_dedup.drop_copies(docs([(1, "x"), (1, "x"), (2, "x "), (3, None)], extra="_digest"))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "_digest"]

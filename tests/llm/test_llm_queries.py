@@ -90,6 +90,42 @@ def test_op8_rules_win(spark):
         fit = max(((len(h + p), h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)), default=(0, None, None))
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, fit[1]) and got[i].verdict == (fit[2] or got[i].verdict)
         assert got[i].verdict in ("allow", "block")
+        assert got[i].held_out == (zlib.crc32((url or "").encode()) % 3 == 1)
+
+
+def test_op8_on_urls_that_it_was_not_fitted_on(spark):
+    from vetrina.llm import common, urls
+
+    pages = common.table(spark, "/root/testdata/sf0.1", "pages")
+    labels = {r.url: r.label for r in urls.weak_labels(pages).collect()}
+    own = {r.page_id: r.url for r in pages.select("page_id", "url").collect()}
+    seen = [r for r in urls.judge(pages).collect() if r.rule is None and r.held_out]
+    right = [(r.verdict == "block") == bool(labels[own[r.page_id]]) for r in seen]
+    blocked = [r.verdict == "block" for r in seen if labels[own[r.page_id]]]
+    print(len(right), np.mean(right), len(blocked), np.mean(blocked))
+    assert np.mean(right) >= 0.95 and np.mean(blocked) >= 0.8
+
+
+def test_op8_entropy_counts_each_sign(spark):
+    from vetrina.llm import urls
+
+    texts = ["", "a", "aab", "http://a.example.com/x?y=1&y=2", "😀é😀", "z" * 300]
+    rows = spark.createDataFrame([(t, "h", "/") for t in texts], "url string, host string, path string")
+    got = {r.url: r.f_entropy for r in urls.with_features(rows).collect()}
+    for t in texts:
+        shares = [t.count(c) / len(t) for c in set(t)]
+        assert abs(got[t] + sum(p * np.log2(p) for p in shares)) < 1e-5
+
+
+@pytest.mark.parametrize("urls_", [[], [None, "no scheme", None]])
+def test_op8_and_op4_on_odd_tables(spark, urls_):
+    from vetrina.llm import chat, urls
+
+    pages = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls_)], "page_id long, url string, host string, _rule int")
+    got = urls.judge(pages).collect()
+    assert [(r.host, r.path, r.rule, r.verdict) for r in got] == [("", "", None, "allow")] * len(urls_)
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string, formatted string")
+    assert chat.format_rows(turns).count() == 0
 
 
 def test_op9_places_all_pieces_without_gaps(spark, texts, library):

@@ -220,7 +220,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle(templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> str:
-    """The same scan in SQL, comparing every unit with every template."""
+    """The scan of whole texts and lines in SQL, comparing every unit with every template.
+
+    Runs of words within a text are not in it: it equals ``licenses`` on tables where notices fill lines or texts, as on
+    the driver's. Runs are held against a plain search in the tests.
+    """
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({quote(n)}, [{', '.join(map(quote, g))}])" for n, g in template_bigrams(templates).items())
     breaks = " || ".join(f"chr({ord(c)})" for c in _BREAKS)

@@ -4,7 +4,8 @@ Features of a url: its length, the depth of its path, shares of digits and of hy
 its number of parameters, host labels, and two statistics of its host's last label over the labelled urls (their
 number, and the smoothed share of blocked ones). Trees are fitted on a bounded sample of labelled urls, ``TRAIN_ROWS``
 of each label at most, the first by a hash of the url, weighted so that each label counts as often as in all labelled
-urls. Every url is judged.
+urls. Every url is judged. Urls of one residue (``HELD_OUT`` of ``FOLDS``, by CRC-32) are never fitted on: what the trees say of
+them tells how they do on urls that they have not seen.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the model
 on its own characters (a null url as an empty one); an empty path fits no rule, as every rule's path starts with a
@@ -31,7 +32,7 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 BLOCK_WORDS = ["ads", "adult", "bets", "casino", "pills", "spam"]
 TRAIN_ROWS = 10_000
 TREES, DEPTH = 10, 3
-_COUNTED = string.ascii_lowercase + string.digits + "-._~:/?#&=%"
+FOLDS, HELD_OUT = 3, 1
 FEATURES = ["f_length", "f_depth", "f_digits", "f_hyphens", "f_entropy", "f_params", "f_labels", "f_suffix_n", "f_suffix_blocked"]
 
 
@@ -60,12 +61,14 @@ def _share(text: Column, signs: str) -> Column:
 def with_features(rows: DataFrame) -> DataFrame:
     """``rows`` (url, host, path, ..) with the lexical features and the host's last label."""
     url = F.translate(F.coalesce("url", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    shares = [_share(F.col("_url"), c) for c in _COUNTED]
-    rest = F.greatest(F.lit(1.0) - sum(shares[1:], shares[0]), F.lit(0.0))
-    entropy = F.lit(0.0)
-    for p in [*shares, rest]:
-        entropy = entropy - F.when(p > 0, p * F.log2(F.when(p > 0, p).otherwise(1.0))).otherwise(0.0)
-    return rows.withColumn("_url", url).withColumns(
+    # Signs are counted once: sorted, a run of equal ones ends where the next differs, and its length is the distance.
+    signs = F.array_sort(F.split("_url", ""))
+    n = F.length("_url")
+    ends = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: ~F.get("_signs", i - 1).eqNullSafe(F.get("_signs", i)))
+    start = F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum"))
+    step = lambda s, i: F.struct(i.alias("last"), (s["sum"] + (i - s["last"]) * F.log2((i - s["last"]).cast("double"))).alias("sum"))
+    entropy = F.when(n > 0, F.log2(n.cast("double")) - F.aggregate(ends, start, step, lambda s: s["sum"]) / n).otherwise(0.0)
+    return rows.withColumn("_url", url).withColumn("_signs", signs).withColumns(
         {
             "f_length": F.length("_url").cast("double"),
             "f_depth": F.regexp_count("path", F.lit("/+[^/]")).cast("double"),
@@ -76,7 +79,11 @@ def with_features(rows: DataFrame) -> DataFrame:
             "f_labels": F.size(F.split("host", r"\.")).cast("double"),
             "suffix": F.substring_index("host", ".", -1),
         }
-    )
+    ).drop("_signs")
+
+
+def is_held_out(url: Column) -> Column:
+    return F.crc32(F.coalesce(url, F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
 def suffix_statistics(labelled: DataFrame) -> DataFrame:
@@ -121,7 +128,7 @@ def weak_labels(pages: DataFrame, words: list[str] = BLOCK_WORDS) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None) -> DataFrame:
-    """One row per row of ``pages``: page_id, host, path, rule, verdict.
+    """One row per row of ``pages``: page_id, host, path, rule, verdict, held_out (urls that nothing was fitted on).
 
     ``labelled`` has urls with a label, 1 for blocked; where it is not given, ``weak_labels`` of the pages are used.
     """
@@ -131,9 +138,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labelled:
     if labelled is None:
         labelled = weak_labels(pages)
     labelled = labelled.select("url", host.alias("host"), path.alias("path"), F.col("label").cast("int").alias("label"))
-    found = UrlModel(labelled).judge(rows)
+    found = UrlModel(labelled.where(~is_held_out(F.col("url")))).judge(rows)
     verdict = F.coalesce("_rule.verdict", F.when(F.col("_blocked") == 1, "block").otherwise("allow"))
-    return found.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"))
+    return found.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), is_held_out(F.col("url")).alias("held_out"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

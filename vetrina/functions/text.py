@@ -285,7 +285,8 @@ def display_title(title: Column, brand: Column | None = None) -> Column:
     """Short title without sizes, marketing, brand and attribute words, ending in a whole word.
 
     Words of every attribute vocabulary go whatever the row's own attributes are, which covers those as well. If nothing
-    is left, the title without sizes stays.
+    is left, the title without sizes stays. Give the result a column of its own, behind a shuffle or a generator, before
+    another function that folds is put on it: Spark does not take such a pair of Python functions apart.
     """
     return let(without_size(title), lambda short: shortened(short, brand))
 

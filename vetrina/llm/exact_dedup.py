@@ -6,8 +6,7 @@ not have as good already is appended. So an index may have several entries of a
 the order of batches does not matter. ``dedup`` and ``drop_copies`` bring a table to one index in ``BATCHES`` batches.
 
 Defined cases: null text counts as empty (empty texts are copies of each other); a null doc_id sorts before any other;
-rows that repeat a doc_id are judged row by row in ``decide`` and kept once, the first by text of the longest, in
-``keep_best``; an empty table gives an empty result; extra columns are carried by ``keep_best`` whatever their names.
+rows that repeat a doc_id are judged row by row in ``decide`` and kept once, one of the longest, in ``keep_best``; an empty table gives an empty result; extra columns are carried by ``keep_best`` whatever their names.
 """
 
 from __future__ import annotations
@@ -103,8 +102,8 @@ class DigestIndex:
         known = common.materialize(self.best().toDF(key, chars, keep), "digests-best")
         found = docs.withColumn(key, text_digest()).join(known.hint("merge"), key)
         kept = found.where(F.col("doc_id").eqNullSafe(F.col(keep)) & (F.length(F.coalesce("text", F.lit(""))) == F.col(chars)))
-        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-        return kept.groupBy(key).agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias(keep)).select(f"{keep}.*")
+        # Rows are sorted by their key here; what is left to drop are rows that repeat an id with as long a text.
+        return kept.dropDuplicates([key]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 #: Batches in which a table is brought to an index.

@@ -6,7 +6,8 @@ not have as good already is appended. So an index may have several entries of a
 the order of batches does not matter. ``dedup`` and ``drop_copies`` bring a table to one index in ``BATCHES`` batches.
 
 Defined cases: null text counts as empty (empty texts are copies of each other); a null doc_id sorts before any other;
-rows that repeat a doc_id are judged row by row in ``decide`` and kept once, one of the longest, in ``keep_best``; an empty table gives an empty result; extra columns are carried by ``keep_best`` whatever their names.
+rows that repeat a doc_id are judged row by row in ``decide`` and kept once, one of the longest, in ``keep_best``; an
+empty table gives an empty result; extra columns are carried by ``keep_best`` whatever their names.
 """
 
 from __future__ import annotations

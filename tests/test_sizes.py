@@ -16,10 +16,10 @@ from vetrina.functions import sizes
         ("Jeans W 32 L 34", "W 32 L 34", "Jeans"),
         ("Jeans misura - w32l34", "w32l34", "Jeans"),
         ("Polo XXL estate", None, "Polo  estate"),
-        ("Cappello taglia unica Nero", None, "Cappello  Nero"),
+        ("Berretto taglia unica Nero", None, "Berretto  Nero"),
         ("Guanti taglia unica", "taglia unica", "Guanti"),
-        ("Sciarpa - One Size", "One Size", "Sciarpa"),
-        ("Air Force 1 07", None, "Air Force 1 07"),
+        ("Foulard - One Size", "One Size", "Foulard"),
+        ("Serie 3 07", None, "Serie 3 07"),
         ("Nike 97", None, "Nike 97"),
         ("Felpa 42 43", "43", "Felpa 42"),
         ("Taglia 42x", None, "Taglia 42x"),

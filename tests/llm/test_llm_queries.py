@@ -153,5 +153,5 @@ def test_op10_is_brute_force(spark, texts):
     assert {r.doc_id: (r.n_bytes, r.n_spans, r.n_removed, r.kept_sha256) for r in _rows(spark, "op10_suffix_array_dedup")} == want
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_thirteen_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))

@@ -1,6 +1,10 @@
 """Typed answers, relational upserts and the request log."""
 
+import os
 import random
+import subprocess
+import sys
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +13,7 @@ from vetrina.operators import ask, sampling, search, state
 from vetrina.operators.ask import Field
 from vetrina.operators.enrich import Pacer
 from vetrina.sources import tables
+from vetrina.sources.store import Store
 
 
 def test_values_are_checked_one_by_one(spark):
@@ -76,6 +81,47 @@ def test_relational_upsert_is_all_or_nothing(spark, tmp_path):
     assert left.count() == 0
 
 
+def test_stored_upsert_merges_as_the_database_does(spark, tmp_path):
+    url, options = f"jdbc:derby:{tmp_path}/shop;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    shop, kind = Store(spark, str(tmp_path / "store")), "id long, title string, color string, rank int"
+    old = spark.createDataFrame([(1, "a", "x", 1), (2, "b", None, 2), (4, "d", "w", None), (None, "n", "n", 0)], kind)
+    new = spark.createDataFrame([(2, None, "y", 20), (1, "A", None, 10), (3, "C", None, 30), (4, "D", "v", 40), (None, "m", None, 1)], kind)
+    for rows in (old, new, new.where("id > 1").select("title", "id")):
+        tables.upsert_stored(rows, shop, "offers", ["id"], keep_old=["color"], prefer_old=["rank"])
+        tables.write_jdbc(rows, url, "offers", options) if rows is old else tables.upsert_jdbc(rows, url, "offers", ["id"], options, *([c for c in names if c in rows.columns] for names in (["color"], ["rank"])))
+        got = shop.read("offers").collect()
+        assert Counter(map(tuple, got)) == Counter(map(tuple, tables.read_jdbc(spark, url, "offers", options).collect()))
+    with pytest.raises(ValueError, match="has no missing"):
+        tables.upsert_stored(new.withColumn("missing", F.lit(1)), shop, "offers", ["id"])
+    assert Counter(shop.read("offers").collect()) == Counter(got)
+
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+_ON_EXECUTORS = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+from vetrina.plans.catalog_queries import QUERIES
+from vetrina.sources import tables
+conf = {"spark.checkpoint.dir": f"file://{sys.argv[2]}/shared", "spark.executor.memory": "1g", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.sql.shuffle.partitions": "4"}
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config(map=conf).getOrCreate()
+spark.range(30).selectExpr("id p_partkey", "'red ' || id p_name", "'B' p_brand", "'T' p_type", "1 p_size", "1.0D p_retailprice").repartition(4).write.parquet(f"{sys.argv[2]}/in/part.parquet")
+got = {r.product_id: (r.title, r.color) for r in QUERIES["relational_upsert"](spark, f"{sys.argv[2]}/in").collect()}
+want = {i: (f"red {i}", "red" if i % 7 else None) for i in range(0, 30, 2)}
+want |= {i: (f"RED {i}", "verde" if i % 3 == 0 else want.get(i, (None, None))[1]) for i in range(0, 30, 5)}
+assert got == want, (got, want)
+try:
+    tables.write_jdbc(spark.range(3), "jdbc:derby:memory:x;create=true", "t")
+except ValueError as error:
+    print("refused:", error)
+"""
+
+
+def test_relational_upsert_on_executors(tmp_path):
+    done = subprocess.run([sys.executable, "-c", _ON_EXECUTORS, ROOT, str(tmp_path)], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0 and "refused: an embedded database" in done.stdout, done.stderr[-3000:]
+
+
 def _log(times, limit, seconds):
     passed = []
     for t in sorted(times):

@@ -5,7 +5,8 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from vetrina.functions.values import packed, unpacked
-from vetrina.operators import evidence, identity, resolve, views
+from vetrina.operators import clean, evidence, identity, resolve, views
+from vetrina.sources.shared import stored
 
 
 @contextmanager
@@ -80,3 +81,29 @@ def test_rows_without_key_are_dealt_out(spark):
         found = resolve.stored_keys(rows, stored)
         assert found.where("_known is null").count() == 4000
         assert found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 2000
+
+
+def test_each_text_is_cleaned_once(spark):
+    rows = spark.range(300).selectExpr("id feed_pos", "'1' advertiser_id", "'p' || id AS id", "'Felpa Nike ' || id % 3 AS title", "'Nike' brand", "'9' price", "'l' link", "'d' || id % 2 AS description")
+    staged = []
+
+    def stage(df):
+        staged.append((set(df.columns), df.count()))
+        return stored(df)
+
+    found = clean.clean_feed(rows, stage)
+    assert found.count() == 300 and "Python" not in _plan(found)  # no row's own texts go to Python
+    assert {n for columns, n in staged if {"search", "bare"} <= columns} == {3} and max(n for _, n in staged) <= 10
+
+
+def test_texts_are_joined_either_way(spark, monkeypatch):
+    texts = [("Polo t", "shirt", None, None), ("Polo t", None, "shirt", None), ("Polo", "t", "shirt", None), ("Polo", None, "t", None), ("Felpa Nike Pro", None, None, "NIKE "), ("Felpa Nike Pro", None, None, "Adidas"), ("Felpa Nike Pro", "Taglia: M", None, None)]
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(texts)], "feed_pos long, title string, description string, product_type string, brand string")
+    rows = rows.selectExpr("*", "'1' advertiser_id", "'p' || feed_pos AS id", "'9' price", "'l' link")
+    read = lambda: {r.feed_pos: (r.sottocategoria, r.title, r.clean_title, r.size) for r in clean.clean_feed(rows).collect()}
+    want = {i: ("magliette", title, title.lower(), None) for i, title in enumerate(["Polo t", "Polo t", "Polo"])} | {3: ("polo", "Polo", "polo", None)}
+    want |= {4: ("felpe", "Felpa Pro", "felpa pro", None), 5: ("felpe", "Felpa Nike Pro", "felpa nike pro", None), 6: ("felpe", "Felpa Nike Pro", "felpa nike pro", "m")}
+    assert read() == want
+    monkeypatch.setattr(clean, "BROADCAST_TEXTS", -1)
+    with _no_broadcast(spark):
+        assert read() == want

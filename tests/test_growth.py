@@ -1,12 +1,14 @@
 """What is shuffled and written, where it once grew too fast."""
 
+import time
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from vetrina.functions.values import packed, unpacked
 from vetrina.operators import clean, evidence, identity, resolve, views
-from vetrina.sources.shared import stored
+from vetrina.sources.shared import freed, stored
 
 
 @contextmanager
@@ -59,6 +61,30 @@ def test_rows_without_evidence_are_not_staged(spark):
     assert {(r.product_key, r.updates_product) for r in found.collect()} == {(r.k, True) for r in rows.select(evidence.fallback_key(rows).alias("k")).collect()}
 
 
+def test_offers_meet_little_evidence_without_a_shuffle(spark):
+    text = lambda *names: [F.concat(F.lit(n), (F.col("id") % 5).cast("string")).alias(n) for n in names]
+    rows = spark.range(60).select(F.col("id").alias("feed_pos"), F.lit(1).cast("long").alias("advertiser_id"), F.when(F.col("id") % 2 == 0, "e").alias("ean"), *text("brand", "extracted_model", "model_title", "clean_title"), F.lit("high").alias("model_match_confidence"))
+    with _no_broadcast(spark):
+        found = evidence.with_products(rows)
+        assert found.count() == 60 and "hashpartitioning" not in _plan(found)
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in dirs for f in Path(d).rglob("shuffle_*")}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = files(), spark.conf.get(name, None)
+    assert stored(spark.range(1000).repartition(3, "id")).count() == 1000
+    with freed(spark), freed(spark):
+        stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name, None) == setting
+    until = time.time() + 20
+    while left := [f for f in files() - before if f.suffix == ".data" and f.stat().st_size > 500]:
+        assert time.time() < until, left
+        time.sleep(0.2)
+
+
 def test_offers_meet_their_levels_in_one_join(spark):
     null = lambda *names: [F.lit(None).cast("string").alias(c) for c in names]
     one = spark.range(4)

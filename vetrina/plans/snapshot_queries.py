@@ -215,17 +215,20 @@ def embedding_cosine_topk(spark, d):
     return assets.most_similar(table(spark, d, "embeddings"), _PROBE, 20)
 
 
-def _rows_to_resolve(spark, d):
+def _rows_to_resolve(spark, d, told=None):
+    """``told``: part number, model title and its confidence, else some part numbers alone."""
+    null = F.lit(None).cast("string")
+    part, title, sure = told or (F.when(F.col("quantity") % 9 == 0, F.concat(F.lit("M"), F.col("quantity").cast("string"))), null, null)
     x = offers(spark, d).join(products(spark, d).select("product_id", "title", "brand", "color", "material", "size"), "product_id")
     return x.select(
         F.col("id").alias("feed_pos"),
         "advertiser_id",
         F.when(F.col("line") == 1, F.concat(F.lit("e"), (F.col("order_id") % 900).cast("string"))).alias("ean"),
         "brand",
-        F.when(F.col("quantity") % 9 == 0, F.concat(F.lit("M"), F.col("quantity").cast("string"))).alias("extracted_model"),
-        F.lit(None).cast("string").alias("model_title"),
-        F.lit(None).cast("string").alias("model_match_confidence"),
-        F.lit(None).cast("string").alias("colorway_name"),
+        part.alias("extracted_model"),
+        title.alias("model_title"),
+        sure.alias("model_match_confidence"),
+        null.alias("colorway_name"),
         F.col("title").alias("clean_title"),
         "color",
         "material",
@@ -271,13 +274,11 @@ SELECT feed_pos, product_key, makes AS updates_product, color_variant_key, CASE
 @query("entity_resolution", f"WITH RECURSIVE {_BY_EVIDENCE}")
 def entity_resolution(spark, d):
     """Offers by EAN, part number and sure title, in their order; one part number is on a third of them."""
-    x = offers(spark, d).select(F.col("id").alias("feed_pos"), "quantity", "line", "product_id")
     q = F.col("quantity")
     part = F.when(q % 3 == 1, "M-hot").when(q % 9 == 0, F.concat(F.lit("M"), q.cast("string")))
     title = F.concat(F.lit("model "), (F.col("product_id") % 40).cast("string"))
-    told = x.select("feed_pos", part.alias("extracted_model"), title.alias("model_title"), F.when(F.col("line") % 3 > 0, "high").otherwise("low").alias("model_match_confidence"))
-    rows = _rows_to_resolve(spark, d).drop("extracted_model", "model_title", "model_match_confidence").join(told, "feed_pos")
-    return resolve.resolve(rows).select("feed_pos", "product_key", "updates_product", "color_variant_key", "variant_key")
+    sure = F.when(F.col("line") % 3 > 0, "high").otherwise("low")
+    return resolve.resolve(_rows_to_resolve(spark, d, (part, title, sure))).select("feed_pos", "product_key", "updates_product", "color_variant_key", "variant_key")
 
 
 @query("resolved_variants", f"WITH {_RESOLVED} SELECT variant_key, max_by(product_key, feed_pos) AS product_key, max_by(size, feed_pos) FILTER (WHERE size IS NOT NULL) AS size, max_by(material, feed_pos) FILTER (WHERE material IS NOT NULL) AS material FROM resolved GROUP BY variant_key")
